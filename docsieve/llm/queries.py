@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from docsieve.llm import history_dedup, rank_fusion, survivorship
+from docsieve.llm import history_dedup, language, leakage, rank_fusion, survivorship
 from docsieve.runtime import table
 
 
@@ -41,3 +41,30 @@ def p5_median_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median rank aggregation of each queue's items."""
     out = rank_fusion.median_rank(_items(spark, sf_dir), "queue_id", "item_id", SIGNALS)
     return out.select("queue_id", "item_id", F.round("median_rank", 6).alias("median_rank"), F.round("mean_rank", 6).alias("mean_rank"))
+
+
+def _eval_items(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
+    rows = table(spark, sf_dir, "eval_items").select("item_id", "passage").where("passage IS NOT NULL").distinct()
+    return sorted((r.item_id, r.passage) for r in rows.collect())  # 420 rows, a fixed table
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold test items."""
+    return leakage.leaked(table(spark, sf_dir, "documents"), _eval_items(spark, sf_dir))
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate stretch with its measures, before the thresholds."""
+    return leakage.leak_spans(table(spark, sf_dir, "documents"), _eval_items(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a missing, wrong or too narrow label, and the languages they are written in."""
+    docs = table(spark, sf_dir, "documents")
+    return language.corrected_labels(docs, language.train(docs))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every document with its language and confidence."""
+    docs = table(spark, sf_dir, "documents")
+    return language.label_segments(docs, language.train(docs)).withColumn("confidence", F.round("confidence", 6))
