@@ -49,7 +49,7 @@ SUFFIXES = {"de": "de", "at": "de", "uk": "en", "us": "en", "ie": "en", "es": "e
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _PLAIN = re.compile(r"[a-z]+(?:'[a-z]+)*")
 _ADDRESS = re.compile(r"[@.][\w-]+\.([a-z]{2})\b(?![\w.])")
-_LETTERS = str.maketrans({"ł": "l", "ø": "o", "’": "'"})
+_LETTERS = [("ł", "l"), ("ø", "o"), ("’", "'")]
 #: Lines of tables: an item with a count and a price, or a label with its value.
 _ITEM = re.compile(r"^\s*\d+\s+.*\d+\s*[xX×]\s*[\d.,]+\W*$")
 
@@ -65,8 +65,10 @@ def declared_language(label: Column) -> Column:
 
 def words_of(text: str) -> list[str]:
     """The words of a text without case and accents (both are often lost)."""
-    t = text.casefold().translate(_LETTERS)
+    t = text.casefold()
     if not t.isascii():
+        for a, b in _LETTERS:
+            t = t.replace(a, b)
         t = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
     return _PLAIN.findall(t)
 
@@ -167,6 +169,23 @@ def fit_words(rows: list[tuple[str, str]]) -> WordModel:
     return fit(agree)
 
 
+def _viterbi(ev: np.ndarray, start: np.ndarray) -> list[int]:
+    """Best sequence of states under a fixed price for each change."""
+    states = range(ev.shape[1])
+    score, back = list(start), []
+    for row in ev.tolist():
+        top = max(score)
+        best, jump = score.index(top), top - SWITCH
+        back.append([x if score[x] >= jump else best for x in states])
+        score = [(score[x] if score[x] >= jump else jump) + row[x] for x in states]
+    x = score.index(max(score))
+    path = []
+    for step in reversed(back):
+        path.append(x)
+        x = step[x]
+    return path[::-1]
+
+
 def segments(model: WordModel, text: str, prior: np.ndarray) -> list[tuple[int, int, int, float]]:
     """(language, words, telling words, confidence) of each stretch of the prose."""
     words = words_of(prose(text))
@@ -178,21 +197,9 @@ def segments(model: WordModel, text: str, prior: np.ndarray) -> list[tuple[int,
     # a change pays only where some stretch gains more than its price over the main language
     gain = np.cumsum(ev - ev[:, [main]], axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros(k), gain[:-1]]), axis=0)
-    if (gain - low).max() <= SWITCH - max(0.0, float((prior - prior[main]).max())):
-        path = np.full(n, main)
-    else:
-        score = ev[0] + prior
-        back = np.zeros((n, k), np.int8)
-        for i in range(1, n):
-            best = int(score.argmax())
-            jump = score[best] - SWITCH
-            stay = score >= jump
-            back[i] = np.where(stay, np.arange(k), best)
-            score = np.where(stay, score, jump) + ev[i]
-        path = np.empty(n, np.int8)
-        path[-1] = score.argmax()
-        for i in range(n - 1, 0, -1):
-            path[i - 1] = back[i][path[i]]
+    gains = (gain - low).max(0)
+    active = [main, *np.flatnonzero(gains > SWITCH - max(0.0, float((prior - prior[main]).max())))]
+    path = np.full(n, main) if len(active) == 1 else np.array(active)[_viterbi(ev[:, active], prior[active])]
     cuts = np.flatnonzero(np.diff(path)) + 1
     out = []
     for a, b in zip(np.r_[0, cuts], np.r_[cuts, n]):
