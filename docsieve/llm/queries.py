@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from docsieve.llm import history_dedup, language, leakage, rank_fusion, survivorship
-from docsieve.runtime import table
+from docsieve.llm import history_dedup, language, leakage, name_variants, packing, rank_fusion, survivorship
+from docsieve.runtime import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,3 +68,27 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of every document with its language and confidence."""
     docs = table(spark, sf_dir, "documents")
     return language.label_segments(docs, language.train(docs)).withColumn("confidence", F.round("confidence", 6))
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of every target filled with whole documents."""
+    rows = table(spark, sf_dir, "pack_targets").select("target_id", "capacity_tokens").distinct().collect()  # 3 rows, fixed
+    return packing.pack(table(spark, sf_dir, "documents"), sorted((r.target_id, r.capacity_tokens) for r in rows))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, field_name, kind, value of every field that names a vendor or an employee."""
+    kinds = F.create_map(*[F.lit(x) for x in ("vendor_name", "organisation", "employee_name", "person", "VendorName", "organisation", "EmployeeName", "person")])
+    alias = F.broadcast(table(spark, sf_dir, "field_aliases").where("entity_key IN ('vendor_name', 'employee_name')").select("field_name", "entity_key").distinct())  # fixed
+    claims = table(spark, sf_dir, "claims").join(alias, "field_name").select("document_id", "field_name", kinds[F.col("entity_key")].alias("kind"), "value")
+    labels = table(spark, sf_dir, "doc_labels").select("document_id", F.explode("fields").alias("field_name", "value")).where("field_name IN ('VendorName', 'EmployeeName')")
+    return claims.unionByName(labels.select("document_id", "field_name", kinds[F.col("field_name")].alias("kind"), "value"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that mean a registered entity but do not spell its name as registered."""
+    named, register = written(_named(spark, sf_dir).where("value IS NOT NULL"), "named"), table(spark, sf_dir, "name_register")
+    links = name_variants.link_spellings(named, register)
+    known = F.broadcast(register.select("entity_id", "registered_name").distinct())  # fixed
+    other = links.join(known, "entity_id").where("value <> registered_name").select("kind", "value", "entity_id")
+    return named.join(other, ["kind", "value"]).select("document_id", "field_name", "entity_id").distinct()
