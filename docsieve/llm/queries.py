@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from docsieve.llm import history_dedup, language, leakage, name_variants, packing, rank_fusion, survivorship
+from docsieve.llm import history_dedup, language, leakage, name_variants, packing, rank_fusion, record_linkage, survivorship
 from docsieve.runtime import table, written
 
 
@@ -92,3 +92,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.broadcast(register.select("entity_id", "registered_name").distinct())  # fixed
     other = links.join(known, "entity_id").where("value <> registered_name").select("kind", "value", "entity_id")
     return named.join(other, ["kind", "value"]).select("document_id", "field_name", "entity_id").distinct()
+
+
+def _linkable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    alias = F.broadcast(table(spark, sf_dir, "field_aliases").select("field_name", "entity_key").distinct())  # 60 rows, fixed
+    claims = table(spark, sf_dir, "claims").join(alias, "field_name").select("document_id", "field_name", "entity_key", "value")
+    rows = table(spark, sf_dir, "name_register").select("entity_id", "kind", "registered_name").distinct().collect()  # fixed
+    return claims, sorted(name_variants.Register([tuple(r) for r in rows if r.registered_name]).trades)
+
+
+def p2_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices and orders of one transaction, with confidence."""
+    return record_linkage.link_records(*_linkable(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices and orders of one transaction."""
+    return p2_linked(spark, sf_dir).select("document_id_1", "document_id_2")
