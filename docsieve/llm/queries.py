@@ -109,3 +109,7 @@ def p2_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices and orders of one transaction."""
     return p2_linked(spark, sf_dir).select("document_id_1", "document_id_2")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_linked, p3_found, p4_found, p5_found, p5_median_rank, p6_packed, p7_found, p7_spans, p8_found, p8_segments)}
+SQL: dict[str, str] = {}
