@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.runtime import written
+
 LANGS = ["de", "en", "es", "fr", "it", "nl", "pl", "pt"]
 TRAIN_DOCS = 3000
 #: Price of a change of language, in nats; evidence a word may give at most.
@@ -32,7 +34,7 @@ SWITCH, WORD_MAX = 9.0, 3.0
 TELLING, SENTENCE_WORDS = 6, 10
 #: Reliability of a declared language; weight of the smoothing towards the parent.
 DECLARED, SMOOTHING, SUFFIX = 0.9, 20.0, 1.0
-SEGMENT_SCHEMA = "doc_id BIGINT, segment INT, lang_code STRING, n_words INT, telling INT, confidence DOUBLE, main BOOLEAN"
+SEGMENT_SCHEMA = "doc_id BIGINT, declared STRING, segment INT, lang_code STRING, n_words INT, telling INT, confidence DOUBLE, main BOOLEAN"
 
 # fixed values: ISO 639 codes and names of the languages
 CODES = {
@@ -241,12 +243,13 @@ def train(documents: DataFrame, bound: int = TRAIN_DOCS) -> WordModel:
 
     The rest of the corpus is not sampled: every document is labelled.
     """
-    rows = (
-        documents.select("doc_id", "text", declared_language(F.col("lang")).alias("declared"))
-        .where(F.col("declared").isin(LANGS) & F.length("text").between(200, 20000))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select("declared", "text").collect()
+    labelled = documents.select("doc_id", "text", declared_language(F.col("lang")).alias("declared")).where(
+        F.col("declared").isin(LANGS) & F.length("text").between(200, 20000)
     )
-    return fit_words([(r.declared, r.text) for r in rows])
+    n = labelled.count()
+    share = min(1.0, 0.9 * bound / max(n, 1))  # of the hash range, so that what is sent to the driver is bounded
+    rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "declared", "text").limit(bound).collect()
+    return fit_words([(r.declared, r.text) for r in sorted(rows)])
 
 
 def label_segments(documents: DataFrame, model: WordModel) -> DataFrame:
@@ -260,7 +263,9 @@ def label_segments(documents: DataFrame, model: WordModel) -> DataFrame:
     base = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         "doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), declared_language(F.col("lang")).alias("declared")
     )
-    rows = base.join(host_priors(base.select("source", "declared")), "source", "left").select("doc_id", "text", "declared", "prior")
+    # written, so that its size is known: few hosts are broadcast, many are joined by a shuffle
+    priors = written(host_priors(base.select("source", "declared")), "host-priors")
+    rows = base.join(priors, "source", "left").select("doc_id", "text", "declared", "prior")
     names = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,7 +286,7 @@ def label_segments(documents: DataFrame, model: WordModel) -> DataFrame:
                 for x, n, _, _ in segs:
                     words[x] += n
                 top = max(words, key=lambda x: (words[x], -x)) if words else None
-                out += [(doc_id, i, LANGS[x], n, t, c, x == top) for i, (x, n, t, c) in enumerate(segs)]
+                out += [(doc_id, declared, i, LANGS[x], n, t, c, x == top) for i, (x, n, t, c) in enumerate(segs)]
             yield pd.DataFrame(out, columns=names)
 
     return rows.mapInPandas(scan, SEGMENT_SCHEMA)
@@ -295,8 +300,7 @@ def corrected_labels(documents: DataFrame, model: WordModel) -> DataFrame:
     """
     whole = f"telling >= {TELLING} AND n_words >= {SENTENCE_WORDS}"
     langs = label_segments(documents, model).where(whole).groupBy("doc_id").agg(
-        F.collect_set("lang_code").alias("langs")  # at most eight
+        F.collect_set("lang_code").alias("langs"), F.max("declared").alias("declared")  # at most eight languages
     )
-    declared = documents.select("doc_id", declared_language(F.col("lang")).alias("declared"))
     wrong = F.col("declared").isNull() | (F.size("langs") > 1) | (F.element_at("langs", 1) != F.col("declared"))
-    return langs.join(declared, "doc_id").where(wrong).select("doc_id", F.explode("langs").alias("lang_code")).distinct()
+    return langs.where(wrong).select("doc_id", F.explode("langs").alias("lang_code"))
