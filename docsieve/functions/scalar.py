@@ -12,6 +12,11 @@ from docsieve import dims
 NUMBER = r"^\s*[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?\s*$"
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Rounded half up in binary arithmetic, the same in every engine."""
+    return F.floor(x * float(10**digits) + 0.5) / float(10**digits)
+
+
 def field_type(name: Column) -> Column:
     """IDENTIFIER, DATE, NUMERIC or FREE_TEXT; NULL names are FREE_TEXT."""
     out = None
@@ -85,7 +90,7 @@ def fused(native: Column, agree: Column, consistency: Column, passed: Column, ca
     valid = F.when(passed, 1.0).otherwise(0.0)
     rest = F.lit(w["native"]) * native + F.lit(w["agreement"]) * signal + F.lit(w["validation"]) * valid
     total = F.when(consistency.isNull(), rest / (1 - w["consistency"])).otherwise(rest + F.lit(w["consistency"]) * consistency)
-    total = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3)
+    total = half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3)
     return F.when(~passed, F.least(total, F.coalesce(cap, F.lit(0.50)))).otherwise(total)
 
 
@@ -144,7 +149,7 @@ def integrity_score(flags: Column) -> Column:
     """1 less the penalties of the flags, within 0 and 1, to three decimals."""
     p = F.create_map(*[F.lit(x) for kv in dims.FLAG_PENALTIES.items() for x in kv])
     total = F.aggregate(flags, F.lit(0.0), lambda acc, f: acc + F.coalesce(F.try_element_at(p, f), F.lit(dims.DEFAULT_PENALTY)))
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - total)), 3)
+    return half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - total)), 3)
 
 
 def first_keyword(text: Column, keywords: list[str]) -> Column:

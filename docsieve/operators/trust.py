@@ -25,7 +25,7 @@ def reconcile_paths(a: DataFrame, b: DataFrame) -> DataFrame:
     j = left.join(right, KEY, "full").withColumn("agreement", S.agreement(F.col("value_a"), F.col("value_b"), S.field_type(F.col("field_name"))))
     use_a = F.col("value_b").isNull() | (F.col("value_a").isNotNull() & (F.col("conf_a") >= F.col("conf_b")))
     conf = F.when(use_a, F.col("conf_a")).otherwise(F.col("conf_b"))
-    return j.withColumn("value", F.when(use_a, F.col("value_a")).otherwise(F.col("value_b"))).withColumn("native", F.round(conf * S.penalty(F.col("agreement")), 3))
+    return j.withColumn("value", F.when(use_a, F.col("value_a")).otherwise(F.col("value_b"))).withColumn("native", S.half_up(conf * S.penalty(F.col("agreement")), 3))
 
 
 def wide(fields: DataFrame, names: list[str]) -> DataFrame:
@@ -94,7 +94,7 @@ def consistency(passes: DataFrame) -> DataFrame:
     """Share of the repeated readings equal to the first. Columns: key, pass, value; a miss counts as unequal."""
     ref = passes.where("pass = 1").select(*KEY, F.col("value").alias("ref"))
     hit = (F.coalesce("value", F.lit("")) == F.coalesce("ref", F.lit(""))).cast("int")
-    return passes.join(ref, KEY).groupBy(*KEY).agg(F.round(F.sum(hit) / F.count("*"), 3).alias("consistency"))
+    return passes.join(ref, KEY).groupBy(*KEY).agg(S.half_up(F.sum(hit) / F.count("*"), 3).alias("consistency"))
 
 
 def score(fields: DataFrame, checks: DataFrame, steady: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def score(fields: DataFrame, checks: DataFrame, steady: DataFrame) -> DataFrame:
     passed = F.coalesce("passed", F.lit(True))
     final = S.fused(F.col("native"), F.col("agreement"), F.col("consistency"), passed, F.col("cap"))
     best = S.fused(F.col("native"), F.col("agreement"), F.lit(1.0), passed, F.col("cap"))
-    return j.select(*KEY, "value", "value_a", "value_b", "native", "agreement", "consistency", passed.alias("passed"), final.alias("final"), F.round(best - final, 3).alias("lost_by_inconsistency"))
+    return j.select(*KEY, "value", "value_a", "value_b", "native", "agreement", "consistency", passed.alias("passed"), final.alias("final"), S.half_up(best - final, 3).alias("lost_by_inconsistency"))
 
 
 def escalate(scored: DataFrame) -> DataFrame:
@@ -128,10 +128,10 @@ def metrics(out: DataFrame, by: list[str]) -> DataFrame:
     """tp, fp, fn, precision, recall and F1 (of the rounded two) by the given columns."""
     n = [F.sum((F.col("outcome") == x).cast("int")).cast("bigint").alias(x.lower()) for x in ("TP", "FP", "FN")]
     g = out.groupBy(*by).agg(*n)
-    p = F.when(F.col("tp") + F.col("fp") > 0, F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 4)).otherwise(1.0)
-    r = F.when(F.col("tp") + F.col("fn") > 0, F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 4)).otherwise(0.0)
+    p = F.when(F.col("tp") + F.col("fp") > 0, S.half_up(F.col("tp") / (F.col("tp") + F.col("fp")), 4)).otherwise(1.0)
+    r = F.when(F.col("tp") + F.col("fn") > 0, S.half_up(F.col("tp") / (F.col("tp") + F.col("fn")), 4)).otherwise(0.0)
     g = g.withColumn("precision", p).withColumn("recall", r)
-    f = F.when(F.col("precision") + F.col("recall") > 0, F.round(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 4)).otherwise(0.0)
+    f = F.when(F.col("precision") + F.col("recall") > 0, S.half_up(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 4)).otherwise(0.0)
     return g.withColumn("f1", f)
 
 
@@ -141,12 +141,12 @@ def calibration(out: DataFrame) -> DataFrame:
     buckets = spark.createDataFrame([("High", 0), ("Medium", 1), ("Low", 2)], "bucket STRING, ord INT")
     name = F.when(F.col("conf") >= 0.90, "High").when(F.col("conf") >= 0.75, "Medium").otherwise("Low")
     g = out.where("outcome <> 'FN'").groupBy(name.alias("bucket")).agg(
-        F.count("*").alias("n"), F.sum((F.col("outcome") == "TP").cast("int")).cast("bigint").alias("correct"), F.sum(F.round(F.col("conf") * 1000).cast("bigint")).alias("milli")
+        F.count("*").alias("n"), F.sum((F.col("outcome") == "TP").cast("int")).cast("bigint").alias("correct"), F.sum(F.floor(F.col("conf") * 1000 + 0.5)).alias("milli")
     )
     j = g.join(F.broadcast(buckets), "bucket", "right").na.fill(0, ["n", "correct", "milli"])  # three rows
-    acc = F.when(F.col("n") > 0, F.round(F.col("correct") / F.col("n"), 4)).otherwise(0.0)
-    mean = F.when(F.col("n") > 0, F.round(F.col("milli") / 1000 / F.col("n"), 4)).otherwise(0.0)
-    return j.select("bucket", "n", "correct", acc.alias("accuracy"), mean.alias("mean_conf"), F.round(F.abs(mean - acc), 4).alias("gap"))
+    acc = F.when(F.col("n") > 0, S.half_up(F.col("correct") / F.col("n"), 4)).otherwise(0.0)
+    mean = F.when(F.col("n") > 0, S.half_up(F.col("milli") / 1000 / F.col("n"), 4)).otherwise(0.0)
+    return j.select("bucket", "n", "correct", acc.alias("accuracy"), mean.alias("mean_conf"), S.half_up(F.abs(mean - acc), 4).alias("gap"))
 
 
 def claims_of(fields: DataFrame) -> DataFrame:
