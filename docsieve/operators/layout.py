@@ -1,0 +1,127 @@
+"""Token-level operators: lines, rows, columns, headers, field patterns, typography.
+
+A page's tokens are few by nature, so folds over one page are taken as arrays;
+everything across pages is a plain shuffle on (document, page).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from docsieve.functions.scalar import half_up
+
+LINE_GAP, ROW_GAP, HEADER_GAP = 18.0, 25.0, 20.0
+# fixed values: words of a table's head
+HEADER_WORDS = ["description", "item", "qty", "quantity", "unit price", "price", "amount", "total", "rate"]
+
+# fixed values: field patterns in order; the first that matches wins
+FIELD_PATTERNS = [
+    ("VendorName", r"(?i)Vendor\s*Name\s*[:\-]\s*(.+)"), ("VendorName", r"(?i)Vendor\s*[:\-]\s*(.+)"),
+    ("InvoiceId", r"(?i)Invoice\s*(?:Id|No|Num|Number|ld)\s*[:\-#]\s*([A-Za-z0-9\-]+)"),
+    ("InvoiceDate", r"(?i)Invoice\s*Date\s*[:\-]\s*(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})"),
+    ("DueDate", r"(?i)Due\s*Date\s*[:\-]\s*(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})"),
+    ("CustomerName", r"(?i)Customer\s*Name\s*[:\-]\s*(.+)"), ("CustomerName", r"(?i)Bill\s*To\s*[:\-]\s*(.+)"),
+    ("EmployeeId", r"(?i)Employee\s*(?:Id|No|Num|Number|ld)\s*[:\-#]\s*([A-Za-z0-9\-]+)"), ("EmployeeId", r"(?i)Emp\s*(?:Id|No)\s*[:\-#]\s*([A-Za-z0-9\-]+)"),
+    ("Subtotal", r"(?i)Subtotal\s*[:\-]?\s*[$]?\s*([\d,]*\d\.\d{2})"),
+    ("GrossPay", r"(?i)Gross\s*Pay\s*[:\-.]?\s*[$]?\s*([\d,.]+\.\d{2}|[\d,]+)"),
+    ("NetPay", r"(?i)Net\s*Pay\s*[:\-.]?\s*[$]?\s*([\d,.]+\.\d{2}|[\d,]+)"), ("NetPay", r"(?i)Take\s*Home\s*Pay\s*[:\-.]?\s*[$]?\s*([\d,.]+\.\d{2}|[\d,]+)"),
+    ("InvoiceTotal", r"(?i)Invoice\s*Total\s*[:\-.]?\s*[$]?\s*([\d,.]+\.\d{2}|[\d,]+)"),
+]
+#: The tax pattern looks behind for other taxes, which not every SQL engine can say.
+TAX_PATTERN = ("TotalTax", r"(?i)(?<!Federal\s)(?<!State\s)(?<!Income\s)(?<!Medicare\s)(?<!Social\sSecurity\s)Tax\s*(?:\([^)]*\))?\s*[:\-]?\s*[$]?\s*([\d,]*\d\.\d{2})")
+
+
+def spatial_lines(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines of tokens in (y, x) order; a line ends where y grows by more than LINE_GAP.
+
+    tokens: keys, y, x, text. One row a line: line_no, n, text in x order, top, bottom.
+    """
+    w = Window.partitionBy(*keys).orderBy("y", "x")
+    new = F.when(F.col("y") - F.lag("y").over(w) > LINE_GAP, 1).otherwise(0)
+    lines = tokens.withColumn("new", new).withColumn("line_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda t: t.text), " ")
+    return lines.groupBy(*keys, "line_no").agg(F.count("*").alias("n"), text.alias("text"), F.min("y").alias("top"), F.max("y").alias("bottom"))
+
+
+def row_clusters(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of tokens by y: a token joins while it is within ROW_GAP of the row's running mean."""
+    ys = F.array_sort(F.collect_list(F.struct("y", "x")))
+    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(-1).alias("row"), F.array().cast("array<struct<x:bigint,row:int>>").alias("out"))
+
+    def step(a: Column, t: Column) -> Column:
+        same = a.at.isNotNull() & (F.abs(t.y - a.at) <= ROW_GAP)
+        row = F.when(same, a.row).otherwise(a.row + 1)
+        at = F.when(same, (a.at + t.y) / 2).otherwise(t.y)
+        return F.struct(at.alias("at"), row.alias("row"), F.concat(a.out, F.array(F.struct(t.x.alias("x"), row.alias("row")))).alias("out"))
+
+    return tokens.groupBy(*keys).agg(ys.alias("ys")).select(*keys, F.inline(F.aggregate("ys", start, step, lambda a: a.out)))
+
+
+def nearest_column(tokens: DataFrame, columns: list[float], x: str) -> DataFrame:
+    """Index of the column nearest to a token; the first on a tie; NULL for a NULL place."""
+    dist = F.array(*[F.struct(F.abs(F.col(x) - c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(columns)])
+    return tokens.withColumn("col_no", F.when(F.col(x).isNotNull(), F.array_min(dist)["i"]))
+
+
+def first_matches(candidates: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+    """First match of each field over candidates in order, then patterns in order.
+
+    candidates: document_id, cand_seq, text. One pass over the text for all
+    patterns, then one grouped minimum; values are trimmed.
+    """
+    hits = F.array(*[
+        F.when(F.col("text").rlike(p), F.struct(F.lit(f).alias("field_name"), F.lit(i).alias("pattern_ord"), F.trim(F.regexp_extract("text", p, 1)).alias("value")))
+        for i, (f, p) in enumerate(patterns)
+    ])
+    rows = candidates.select("document_id", "cand_seq", F.inline(F.filter(hits, lambda h: h.isNotNull())))
+    best = F.min(F.struct("cand_seq", "pattern_ord", "value"))
+    return rows.groupBy("document_id", "field_name").agg(best.alias("b")).select("document_id", "field_name", "b.value", "b.pattern_ord")
+
+
+def money_text(value: Column) -> Column:
+    """All dots but the last dropped (4.580.49 becomes 4580.49), commas too."""
+    return F.regexp_replace(F.regexp_replace(value, ",", ""), r"[.](?=.*[.])", "")
+
+
+def table_header(tokens: DataFrame) -> DataFrame:
+    """Tokens of the head of a table: the longest group within HEADER_GAP of its first token, first on ties."""
+    t = F.lower(F.trim("text"))
+    cand = tokens.where(~F.contains(t, F.lit(":")) & ~F.contains(t, F.lit("$")) & t.rlike("|".join(HEADER_WORDS)))
+    ys = F.array_sort(F.collect_list(F.struct("y", "x", "text")))
+    empty = F.array().cast("array<struct<y:double,n:int>>")
+
+    def step(a: Column, k: Column) -> Column:
+        fits = F.exists(a, lambda g: F.abs(g.y - k.y) <= HEADER_GAP)
+        first = F.array_min(F.transform(F.filter(a, lambda g: F.abs(g.y - k.y) <= HEADER_GAP), lambda g: g.y))
+        grown = F.transform(a, lambda g: F.struct(g.y.alias("y"), F.when(g.y == first, g.n + 1).otherwise(g.n).alias("n")))
+        return F.when(fits, grown).otherwise(F.concat(a, F.array(F.struct(k.y.alias("y"), F.lit(1).alias("n")))))
+
+    groups = cand.groupBy("document_id").agg(F.aggregate(ys, empty, step).alias("g"))
+    best = F.array_max(F.transform("g", lambda x: F.struct(x.n.alias("n"), (-x.y).alias("y"))))
+    return groups.select("document_id", (-best["y"]).alias("header_y"), best["n"].alias("n_columns")).where("n_columns >= 2")
+
+
+def font_baseline(tokens: DataFrame) -> DataFrame:
+    """Median and population deviation of the height of a document's tokens (deviation 0 becomes 1)."""
+    n, s, q = F.count("height"), F.sum("height"), F.sum(F.col("height") * F.col("height"))
+    var = F.greatest(F.lit(0.0), q / n - (s / n) * (s / n))
+    std = F.sqrt(var)
+    return tokens.groupBy("document_id").agg(F.median("height").alias("median_height"), half_up(F.when(std > 1e-9, std).otherwise(1.0), 6).alias("std_height"), n.alias("n_tokens"))
+
+
+def font_anomalies(tokens: DataFrame) -> DataFrame:
+    """Tokens too tall or short for their document or for their neighbours on nearby lines.
+
+    tokens: document_id, seq, y, height. Neighbours lie within 15 units of y.
+    """
+    base = font_baseline(tokens)
+    far = F.when(F.col("height") > 1.5 * F.col("median_height"), "TALL").when(F.col("height") < 0.5 * F.col("median_height"), "SHORT")
+    a = tokens.join(base, "document_id").withColumn("whole", far)
+    n = tokens.select("document_id", F.col("y").alias("ny"), F.col("seq").alias("nseq"), F.col("height").alias("nh"))
+    near = a.join(n, "document_id").where((F.abs(F.col("y") - F.col("ny")) < 15) & (F.col("seq") != F.col("nseq")))
+    local = near.groupBy("document_id", "seq").agg(F.median("nh").alias("local_height"))
+    out = a.join(local, ["document_id", "seq"], "left")
+    d = F.abs(F.col("height") - F.col("local_height"))
+    odd = F.coalesce((d > 10) & (d > 0.35 * F.col("local_height")), F.lit(False))
+    return out.select("document_id", "seq", "height", F.coalesce("whole", F.lit("NONE")).alias("whole"), odd.alias("odd_line")).where("whole <> 'NONE' OR odd_line")
