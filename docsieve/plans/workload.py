@@ -84,7 +84,7 @@ def passes(a: DataFrame) -> DataFrame:
     k = F.col("document_id")
     second = F.when(k % 9 == 0, "?").otherwise(F.col("value"))
     third = F.when(k % 6 == 0, None).otherwise(F.col("value"))
-    cells = F.array(F.struct(F.lit(1).alias("pass"), F.col("value").alias("v")), F.struct(F.lit(2), second), F.struct(F.lit(3), third))
+    cells = F.array(F.struct(F.lit(1).alias("pass"), F.col("value").alias("v")), F.struct(F.lit(2).alias("pass"), second.alias("v")), F.struct(F.lit(3).alias("pass"), third.alias("v")))
     return a.where("document_id % 5 <> 0").select("document_id", "field_name", F.inline(cells)).select("document_id", "field_name", "pass", F.col("v").alias("value"))
 
 
