@@ -12,7 +12,7 @@ from docsieve.runtime import table, written
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads that repeat an earlier accepted one."""
-    return history_dedup.find_repeats(table(spark, sf_dir, "dedup_registry"), commits=3)
+    return history_dedup.find_repeats(table(spark, sf_dir, "dedup_registry"), commits=1)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
