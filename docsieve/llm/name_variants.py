@@ -355,4 +355,7 @@ def link_spellings(values: DataFrame, register: DataFrame) -> DataFrame:
                     out.append((kind, value, *m))
             yield pd.DataFrame(out, columns=names)
 
-    return values.where("value IS NOT NULL AND kind IS NOT NULL").select("kind", "value").distinct().mapInPandas(search, MATCH_SCHEMA)
+    # few bytes but much work a row: spread by number, as adaptive coalescing goes by size
+    spread = 4 * values.sparkSession.sparkContext.defaultParallelism
+    spellings = values.where("value IS NOT NULL AND kind IS NOT NULL").select("kind", "value").distinct()
+    return spellings.repartition(spread, "kind", "value").mapInPandas(search, MATCH_SCHEMA)
