@@ -158,6 +158,20 @@ def test_record_linkage(spark):
     assert record_linkage.link_records(df.limit(0), []).count() == 0
 
 
+def test_record_linkage_candidates_by_any_sum_or_party(spark):
+    schema = "id STRING, side INT, day INT, total BIGINT, subtotal BIGINT, seller STRING, buyer STRING"
+    rows = [
+        ("i1", 1, 100, 1190, 1000, "farkarik", ""), ("o1", 0, 98, 1001, None, "", "zanlizeworth"),  # the order gives the net sum, a cent off
+        ("i2", 1, 200, 5000, None, "farkarik", "zanlizeworth"), ("o2", 0, 199, None, None, "farkaryk", "sanlizeworth"),  # no sum, a buyer misread
+        ("i3", 1, 300, 7000, None, "xarkarik", "zanlizeworth"), ("o3", 0, 299, None, 6000, "farkarik", "zanlizevorth"),  # sums of two kinds, a seller misread
+        ("i4", 1, None, 9000, 8000, "farkarik", ""), ("o4", 0, 400, 8000, None, "farkarik", "zanlizeworth"),  # no day, no buyer
+        ("i5", 1, 500, 100, 90, "farkarik", "zanlizeworth"), ("o5", 0, 499, 300, None, "farkarik", "zanlizeworth"),  # another sum
+        ("i6", 1, 600, 100, None, "farkarik", "zanlizeworth"), ("o6", 0, 601, None, None, "farkarik", "zanlizeworth"),  # ordered after the invoice
+    ]
+    got = record_linkage.candidate_pairs(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.l, r.r) for r in got) == [("i1", "o1"), ("i2", "o2"), ("i3", "o3"), ("i4", "o4")]
+
+
 def test_packing(spark):
     pytest.importorskip("tiktoken")
     rng = random.Random(2)
