@@ -172,6 +172,31 @@ def test_record_linkage_candidates_by_any_sum_or_party(spark):
     assert sorted((r.l, r.r) for r in got) == [("i1", "o1"), ("i2", "o2"), ("i3", "o3"), ("i4", "o4")]
 
 
+def test_record_linkage_keeps_documents_of_an_open_side(spark):
+    rows = []
+
+    def doc(i, seller, day, total, **more):
+        rows.extend([(i, "VendorName", "vendor_name", seller), (i, "CustomerName", "customer_name", "Zanlizeworth Ltd"), (i, "issue_date", "invoice_date", day), (i, "GrandTotal", "invoice_total", total)])
+        rows.extend((i, *k.split("__"), v) for k, v in more.items())
+
+    doc("i1", "Farcarick AG", "2025-03-08", "10.50", InvoiceId__invoice_id="1")
+    doc("o1", "Farcarick AG", "2025-03-05", "10.50", OrderId__po_number="7")  # an order field against CustomerName
+    doc("i2", "Brulanevik AG", "2025-05-08", "20.50", AmountDue__invoice_total="20.50")
+    doc("u2", "Brulanevik AG", "2025-05-05", "20.50")  # no telling field: may be the order
+    doc("o3", "Quorkabzup AG", "2025-06-05", "30.50", po_ref__po_number="8")
+    doc("u3", "Quorkabzup AG", "2025-06-06", "30.50")  # may be the invoice
+    doc("u4", "Sellomak AG", "2025-07-05", "40.50")  # no partner but itself
+    doc("p1", "Farcarick AG", "2025-03-08", "10.50", EmployeeId__employee_id="1")
+    df = spark.createDataFrame(rows, "document_id STRING, field_name STRING, entity_key STRING, value STRING")
+    got = record_linkage.link_records(df, []).collect()
+    assert sorted((r.document_id_1, r.document_id_2) for r in got) == [("i1", "o1"), ("i2", "u2"), ("o3", "u3")]
+
+
+def test_assignment_uses_a_record_of_both_sides_once(spark):
+    pairs = spark.createDataFrame([("a", "u", 0.9), ("u", "b", 0.8), ("c", "b", 0.7), ("u", "v", 0.85), ("v", "u", 0.85)], "l STRING, r STRING, confidence DOUBLE")
+    assert sorted((r.l, r.r) for r in record_linkage.assign(pairs).collect()) == [("a", "u"), ("c", "b")]
+
+
 def test_packing(spark):
     pytest.importorskip("tiktoken")
     rng = random.Random(2)
