@@ -63,6 +63,29 @@ def test_history_parses_and_leaves_common_sheets_out(spark):
     assert got == [(1, 2), (1, 3)]
 
 
+def test_history_keeps_the_pages_of_a_hot_file(spark):
+    rng = random.Random(8)
+    word = lambda: rng.getrandbits(64)
+    noisy = lambda h: h ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 0, 1, 2])))
+    file, sheet, rows = [word() for _ in range(4)], word(), []
+    for i in range(60):
+        pages = [noisy(h) for h in file]
+        if i % 5 == 0:
+            del pages[rng.randrange(4)]
+        if i % 7 == 0:
+            pages.insert(0, word())  # another cover sheet
+        rows.append(pages)
+    rows += [[sheet, word()] for _ in range(15)] + [[noisy(sheet), word(), word()] for _ in range(15)]
+    rows += [[word(), word()] for _ in range(30)]
+    rng.shuffle(rows)
+    rows = [(i, f"d{i}", min(i // 40, 2), None, [f"{h:016x}" for h in pages], "") for i, pages in enumerate(rows, 1)]
+    df = spark.createDataFrame(rows, REG)
+    assert [c & (2**64 - 1) for c in H.common_sheets(H.normalised_uploads(df))] == [sheet]
+    got = sorted((r.reg_id_1, r.reg_id_2) for r in H.find_repeats(df, 1).collect())
+    bare = [(*r[:4], [p for p in r[4] if bin(int(p, 16) ^ sheet).count("1") > 8], "") for r in rows]
+    assert got == brute(bare) and len(got) > 50
+
+
 def test_history_empty(spark):
     assert H.find_repeats(spark.createDataFrame([], REG)).count() == 0
 
