@@ -257,6 +257,13 @@ def exact_duplicates(spark, sf):
 _BITS = "list_transform(range(64), lambda i: CASE WHEN embedding[i + 1]::double > med THEN '1' ELSE '0' END)"
 
 
+def _hashes(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), forensics.bits_of(F.col("embedding")).alias("h"))
+    flip = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(id % 12 AS INT)) - 1")
+    again = e.where("id % 3 = 0").select((F.col("id") + 10_000_000).alias("id"), F.col("h").bitwiseXOR(flip).alias("h"))
+    return e.unionByName(again)
+
+
 @query(f"""WITH m AS (SELECT vec_id, embedding, (list_sort(embedding)[32]::double + list_sort(embedding)[33]::double) / 2 med FROM embeddings),
 b AS (SELECT vec_id id, {_BITS} bits FROM m),
 x AS (SELECT id, array_to_string(bits, '') h FROM b UNION ALL
@@ -264,10 +271,19 @@ x AS (SELECT id, array_to_string(bits, '') h FROM b UNION ALL
 r AS (SELECT h, min(id) id FROM x GROUP BY 1)
 SELECT p.id id_1, q.id id_2, hamming(p.h, q.h)::int distance, {Q.half_up('(64 - hamming(p.h, q.h)) / 64.0::double * 100', 1)} similarity FROM r p JOIN r q ON p.id < q.id WHERE hamming(p.h, q.h) <= 8""")
 def near_duplicates(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), forensics.bits_of(F.col("embedding")).alias("h"))
-    flip = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(id % 12 AS INT)) - 1")
-    again = e.where("id % 3 = 0").select((F.col("id") + 10_000_000).alias("id"), F.col("h").bitwiseXOR(flip).alias("h"))
-    return forensics.near_pairs(e.unionByName(again))
+    """Near pairs of different hashes, between the first items that have them."""
+    return forensics.near_pairs(_hashes(spark, sf))
+
+
+# each item by itself; the hashes are those of near_duplicates
+@query(f"""WITH m AS (SELECT vec_id, embedding, (list_sort(embedding)[32]::double + list_sort(embedding)[33]::double) / 2 med FROM embeddings),
+b AS (SELECT vec_id id, {_BITS} bits FROM m),
+x AS (SELECT id, array_to_string(bits, '') h FROM b UNION ALL
+ SELECT id + 10000000, array_to_string(list_transform(range(64), lambda i: CASE WHEN i < id % 12 THEN CASE WHEN bits[i + 1] = '1' THEN '0' ELSE '1' END ELSE bits[i + 1] END), '') FROM b WHERE id % 3 = 0)
+SELECT p.id, min(CASE WHEN p.h = q.h THEN q.id END) class_id, count(*) FILTER (p.h = q.h AND p.id <> q.id) n_same, count(*) FILTER (p.h <> q.h) n_near FROM x p JOIN x q ON hamming(p.h, q.h) <= 8 GROUP BY p.id""")
+def near_duplicate_items(spark, sf):
+    """Every item with its class of equal hashes and its numbers of equal and near items."""
+    return forensics.near_members(_hashes(spark, sf))
 
 
 # ---------------------------------------------------------------------- layout

@@ -1,0 +1,10 @@
+"""Further queries against their SQL, on the smallest data."""
+
+import pytest
+
+from test_queries import test_query_equals_sql as equals_sql
+
+
+@pytest.mark.parametrize("name", ["near_duplicate_items"])
+def test_further_query_equals_sql(spark, name):
+    equals_sql(spark, name)

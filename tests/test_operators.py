@@ -39,6 +39,22 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == want and len(want) > 30
 
 
+def test_near_members_give_every_pair(spark):
+    rng = np.random.default_rng(2)
+    h = [int(x) for x in rng.integers(-(2**62), 2**62, 20)]
+    h += h[:8] + h[:4] + [x ^ 5 for x in h[2:12]] + [x ^ 5 for x in h[2:5]]
+    df = spark.createDataFrame(list(enumerate(h)) + [(999, None)], "id BIGINT, h BIGINT")
+    rows = {r.id: r for r in forensics.near_members(df).collect()}
+    near = {frozenset((r.id_1, r.id_2)) for r in forensics.near_pairs(df).collect()}
+    d = lambda i, j: bin((h[i] ^ h[j]) & (2**64 - 1)).count("1")
+    n = range(len(h))
+    want = {(i, j) for i in n for j in n if i < j and d(i, j) <= 8}
+    got = {(i, j) for i in n for j in n if i < j and (rows[i].class_id == rows[j].class_id or frozenset((rows[i].class_id, rows[j].class_id)) in near)}
+    assert set(rows) == set(n) and got == want and any(d(i, j) == 0 for i, j in want)
+    for i in n:
+        assert rows[i].n_same == sum(d(i, j) == 0 for j in n) - 1 and rows[i].n_near == sum(0 < d(i, j) <= 8 for j in n)
+
+
 def test_exact_classes(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, ""), (4, None), (5, "")], "id BIGINT, t STRING")
     assert sorted(map(tuple, forensics.exact_classes(df, "id", "t").collect())) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (5, 3, 1)]
