@@ -56,8 +56,12 @@ def bare(value: Column) -> Column:
 
 def agreement(a: Column, b: Column, kind: Column) -> Column:
     """How two readings of a field agree, by its type; single_source if one is NULL."""
-    na, nb = parse_number(a), parse_number(b)
-    da, db = first_date(a, AGREEMENT_DATES), first_date(b, AGREEMENT_DATES)
+    return agreement_of(a, b, kind, (parse_number(a), first_date(a, AGREEMENT_DATES)), (parse_number(b), first_date(b, AGREEMENT_DATES)))
+
+
+def agreement_of(a: Column, b: Column, kind: Column, read_a: tuple[Column, Column], read_b: tuple[Column, Column]) -> Column:
+    """``agreement`` of values whose number and date have been read before."""
+    (na, da), (nb, db) = read_a, read_b
     ta, tb = F.trim(a), F.trim(b)
     longest = F.greatest(F.length(ta), F.length(tb))
     lev = F.levenshtein(ta, tb)

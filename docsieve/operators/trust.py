@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from docsieve import dims
 from docsieve.functions import scalar as S
+from docsieve.runtime import written
 
+#: A bundle is compared in so many parts.
+SPREAD = 16
 KEY = ["document_id", "field_name"]
 
 
@@ -165,7 +168,8 @@ def conflicts(claims: DataFrame) -> DataFrame:
 
     claims: bundle_id, document_id, doc_seq, claim_seq, entity_key, value. Equal
     claims of a document are one; the comparison takes the entity's name for the
-    field's. Bundles are small by nature (a transaction's papers).
+    field's. For bundles of a transaction's papers, which are few; all documents
+    of a bundle meet. ``profile_conflicts`` is for any bundle.
     """
     order = F.struct("doc_seq", "claim_seq")
     a = claims.select("bundle_id", "entity_key", F.col("document_id").alias("document_id_1"), F.col("value").alias("value_1"), order.alias("o1"))
@@ -177,6 +181,45 @@ def conflicts(claims: DataFrame) -> DataFrame:
     return j.where(differ).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("bundle_id", "entity_key", "document_id_1", "document_id_2", "value_1", "value_2")
 
 
+def value_profiles(claims: DataFrame) -> DataFrame:
+    """bundle_id, entity_key, document_id and the distinct values that the document gives for the entity."""
+    return claims.where("document_id IS NOT NULL").groupBy("bundle_id", "entity_key", "document_id").agg(F.sort_array(F.collect_set("value")).alias("profile"))
+
+
+def profile_conflicts(members: DataFrame) -> DataFrame:
+    """Contradictions between the profiles of a bundle and entity, without a join of documents.
+
+    members: as of ``value_profiles``. Each pair of documents with contradicting
+    values is in one row: profile_1 <= profile_2, n_1 and n_2 documents with them,
+    n_pairs pairs of documents. Equal profiles are compared once, however many
+    documents share them, and a large bundle is spread over many tasks.
+    """
+    kind = S.field_type(F.col("entity_key"))
+    cell = F.transform("profile", lambda v: F.struct(v.alias("v"), S.parse_number(v).alias("n"), S.first_date(v, S.AGREEMENT_DATES).alias("d")))
+    p = members.groupBy("bundle_id", "entity_key", "profile").agg(F.count("*").alias("n")).withColumn("cells", cell).withColumn("kind", kind)
+    p = written(p, "profiles")
+    a = p.select("bundle_id", "entity_key", "kind", F.col("profile").alias("profile_1"), F.col("n").alias("n_1"), F.col("cells").alias("c1"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    b = p.select("bundle_id", "entity_key", F.col("profile").alias("profile_2"), F.col("n").alias("n_2"), F.col("cells").alias("c2"), F.pmod(F.hash("profile"), F.lit(SPREAD)).alias("part"))
+
+    def differ(x: Column, y: Column) -> Column:
+        return S.agreement_of(x["v"], y["v"], F.col("kind"), (x["n"], x["d"]), (y["n"], y["d"])) == "ocr!=vision"
+
+    j = a.join(b, ["bundle_id", "entity_key", "part"]).where("profile_1 <= profile_2 AND (profile_1 <> profile_2 OR n_1 > 1)")
+    j = j.where(F.exists("c1", lambda x: F.exists("c2", lambda y: differ(x, y))))
+    pairs = F.when(F.col("profile_1") == F.col("profile_2"), F.col("n_1") * (F.col("n_1") - 1) / 2).otherwise(F.col("n_1") * F.col("n_2")).cast("bigint")
+    return j.select("bundle_id", "entity_key", "profile_1", "profile_2", "n_1", "n_2", pairs.alias("n_pairs"))
+
+
+def contradicted(members: DataFrame) -> DataFrame:
+    """bundle_id, entity_key, document_id, and the number of other documents that contradict it; those with none are left out."""
+    c, keys = profile_conflicts(members), ["bundle_id", "entity_key", "profile"]
+    same = F.col("profile_1") == F.col("profile_2")
+    sides = F.when(same, F.array(F.struct(F.col("profile_1").alias("profile"), (F.col("n_2") - 1).alias("n")))).otherwise(
+        F.array(F.struct(F.col("profile_1").alias("profile"), F.col("n_2").alias("n")), F.struct(F.col("profile_2").alias("profile"), F.col("n_1").alias("n"))))
+    against = c.select("bundle_id", "entity_key", F.inline(sides)).groupBy(*keys).agg(F.sum("n").alias("n_against"))
+    return members.join(against, keys).select("bundle_id", "entity_key", "document_id", "n_against")
+
+
 def learned_aliases(corrections: DataFrame) -> DataFrame:
     """The last correction of each value, without regard to case; columns seq, original, corrected, spurious."""
     rows = corrections.where("original IS NOT NULL AND corrected IS NOT NULL AND NOT spurious")

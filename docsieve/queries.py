@@ -211,6 +211,38 @@ def bundle_report(spark, sf):
     return out.crossJoin(cl.agg(F.countDistinct("document_id").alias("n_documents")))
 
 
+def _members(spark, sf):
+    return trust.value_profiles(trust.claims_of(table(spark, sf, "claims")))
+
+
+@query()
+def claims_conflicts(spark, sf):
+    """Over the claims table itself: contradicting values of a bundle and entity, with the pairs of documents they stand for."""
+    return trust.profile_conflicts(_members(spark, sf))
+
+
+@query()
+def claims_conflict_members(spark, sf):
+    """Which documents give the values of claims_conflicts."""
+    return _members(spark, sf)
+
+
+@query()
+def claims_conflicted_documents(spark, sf):
+    """Over the claims table itself: documents that others of their bundle contradict."""
+    d = trust.contradicted(_members(spark, sf)).groupBy("document_id")
+    return d.agg(F.sum("n_against").alias("n_conflicts"), F.countDistinct("entity_key").alias("n_entities"), F.lit("NEEDS_REVIEW").alias("status"))
+
+
+@query()
+def claims_bundle_report(spark, sf):
+    """Over the claims table itself: shared entities, contradicting pairs of documents, documents."""
+    m = _members(spark, sf)
+    shared = trust.shared_entities(trust.claims_of(table(spark, sf, "claims"))).agg(F.count("*").alias("n_shared"))
+    pairs = trust.contradicted(m).agg(F.floor(F.coalesce(F.sum("n_against"), F.lit(0)) / 2).alias("n_conflicts"))  # each pair stands at both documents
+    return shared.crossJoin(pairs).crossJoin(m.agg(F.countDistinct("document_id").alias("n_documents")))  # one row each
+
+
 # ------------------------------------------------------------------- feedback
 
 _COR = """cor AS (SELECT k seq, CASE WHEN k % 100 = 0 THEN 'payslip-' || k ELSE 'inv-' || k END document_id, CASE WHEN k % 150 = 0 THEN 'DueDate' ELSE 'CustomerName' END field_name,

@@ -1,10 +1,33 @@
 """Further queries against their SQL, on the smallest data."""
 
+import os
+from collections import Counter
+
 import pytest
 
-from test_queries import test_query_equals_sql as equals_sql
+from docsieve.operators import trust
+from docsieve.queries import QUERIES
+from test_queries import SF, test_query_equals_sql as equals_sql
 
 
 @pytest.mark.parametrize("name", ["near_duplicate_items"])
 def test_further_query_equals_sql(spark, name):
     equals_sql(spark, name)
+
+
+def test_conflicts_of_the_claims_table_equal_all_pairs(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    pairs = trust.conflicts(trust.claims_of(spark.read.parquet(SF + "/claims.parquet"))).toPandas()
+    assert (pairs.bundle_id == "BND-00-000000").any()
+    members = QUERIES["claims_conflict_members"](spark, SF).toPandas()
+    who = {k: list(g.document_id) for k, g in members.assign(profile=members.profile.map(tuple)).groupby(["bundle_id", "entity_key", "profile"])}
+    got = set()
+    for r in QUERIES["claims_conflicts"](spark, SF).toPandas().itertuples():
+        mine = {(r.bundle_id, r.entity_key, *sorted((x, y))) for x in who[r.bundle_id, r.entity_key, tuple(r.profile_1)] for y in who[r.bundle_id, r.entity_key, tuple(r.profile_2)] if x != y}
+        assert len(mine) == r.n_pairs and not mine & got
+        got |= mine
+    assert got == {(r.bundle_id, r.entity_key, *sorted((r.document_id_1, r.document_id_2))) for r in pairs.itertuples()}
+    docs = {r.document_id: r.n_conflicts for r in QUERIES["claims_conflicted_documents"](spark, SF).collect()}
+    assert docs == Counter(d for x in got for d in x[2:])
+    assert QUERIES["claims_bundle_report"](spark, SF).first().n_conflicts == len(got)
