@@ -55,10 +55,20 @@ def windows(a: np.ndarray) -> np.ndarray:
 
 
 class TestGrams:
-    """The n-grams of the items that occur once, in one item only, and the items' words."""
+    """The n-grams that occur once in a passage and in those of one item only, and the passages' words.
+
+    Items with the same passage are one passage of several items. Of passages
+    of one item, the first has the n-grams that they share.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
+        same: dict[bytes, tuple[str, list[int]]] = {}
+        for i, passage in items:
+            ids = same.setdefault(fold(passage or ""), (passage, []))[1]
+            if i not in ids:
+                ids.append(i)
+        self.ids = [ids for _, ids in same.values()]
+        items = [(ids, passage) for passage, ids in same.values()]
         hs, ks, ps = [], [], []
         self.words: list[list[tuple[int, bytes]]] = []
         with np.errstate(over="ignore"):
@@ -76,8 +86,14 @@ class TestGrams:
         o = np.argsort(h, kind="stable")
         h, k, p = h[o], k[o], p[o]
         once = np.ones(len(h), bool)  # what two items share is a standing clause or a mould
-        once[1:] &= h[1:] != h[:-1]
-        once[:-1] &= h[:-1] != h[1:]
+        once[1:] = h[1:] != h[:-1]
+        if len(h):
+            number: dict[tuple, int] = {}
+            owner = np.array([number.setdefault(tuple(ids), len(number)) for ids in self.ids])[k]
+            begin, group = np.flatnonzero(once), np.cumsum(once) - 1
+            one = np.minimum.reduceat(owner, begin) == np.maximum.reduceat(owner, begin)
+            one[group[1:][~once[1:] & (k[1:] == k[:-1])]] = False  # twice in one passage
+            once &= one[group]
         self.h, self.k, self.p = h[once], k[once], p[once]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.h >> np.uint64(42)).astype(np.int64)] = True
@@ -129,7 +145,8 @@ class TestGrams:
             lo, hi = int(pos[f]), int(pos[l]) + GRAM
             begin, end = int(at[f] - start[d]), int(at[l] - start[d]) + GRAM
             out.append((d, k, lo, hi, begin, end))
-        return [r for x in out if (r := self._verify(int(ids[x[0]]), parts[x[0]], *x[1:]))]
+        found = [(x[1], r) for x in out if (r := self._verify(int(ids[x[0]]), parts[x[0]], *x[1:]))]
+        return [(doc_id, i, *rest) for k, (doc_id, *rest) in found for i in self.ids[k]]
 
     def _verify(self, doc_id: int, text: bytes, k: int, lo: int, hi: int, begin: int, end: int) -> tuple | None:
         """Grow the chain over words that still agree, then count what it holds."""
@@ -164,7 +181,7 @@ class TestGrams:
         n_rare = sum(i in found for i in r)
         rare_found = n_rare / len(r) if r else 0.0
         words_found = len(found) / max(1, len(span))
-        return doc_id, self.ids[k], len(span), n_rare, rare_found, words_found, begin, end
+        return doc_id, len(span), n_rare, rare_found, words_found, begin, end
 
 
 @lru_cache(maxsize=2)

@@ -254,6 +254,14 @@ def test_leakage(spark):
     assert leakage.leaked(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), []).count() == 0
 
 
+def test_leakage_of_items_with_one_passage(spark):
+    rng = random.Random(6)
+    a, b, c = _passage(rng), _passage(rng), _passage(rng)
+    items = [(1, a), (2, a), (3, b), (3, b), (3, b + " end of it"), (4, c)]
+    docs = spark.createDataFrame([(1, "Hello.\n" + a), (2, b + " x"), (3, c), (4, _passage(rng))], "doc_id BIGINT, text STRING")
+    assert sorted(map(tuple, leakage.leaked(docs, items).collect())) == [(1, 1), (1, 2), (2, 3), (3, 4)]
+
+
 EN = "The reader of the office has found that the signed note was lost before the end of the week and nobody knows the reason for it. "
 DE = "Der Leser im Büro hat festgestellt, dass der unterschriebene Schein vor dem Ende der Woche verloren ging und niemand den Grund dafür kennt. "
 
