@@ -11,8 +11,8 @@ from docsieve.runtime import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploads that repeat an earlier accepted one."""
-    return history_dedup.find_repeats(table(spark, sf_dir, "dedup_registry"), commits=1)
+    """Uploads that repeat an earlier accepted one; each batch is checked by itself against the history."""
+    return history_dedup.find_repeats(table(spark, sf_dir, "dedup_registry"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

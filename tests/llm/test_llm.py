@@ -86,6 +86,17 @@ def test_history_keeps_the_pages_of_a_hot_file(spark):
     assert got == brute(bare) and len(got) > 50
 
 
+def test_p1_found_takes_every_batch_by_itself(spark, monkeypatch, tmp_path):
+    from docsieve.llm import queries
+
+    rows = [(i, f"d{i}", i // 2, f"{i:064x}", [], "") for i in range(8)]
+    spark.createDataFrame(rows, REG).write.parquet(f"{tmp_path}/dedup_registry.parquet")
+    checked = []
+    monkeypatch.setattr(H.HashForest, "check", lambda self, uploads: checked.append(sorted(r.batch_no for r in uploads.select("batch_no").distinct().collect())))
+    queries.p1_found(spark, str(tmp_path))
+    assert checked == [[0], [1], [2], [3]]
+
+
 def test_history_empty(spark):
     assert H.find_repeats(spark.createDataFrame([], REG)).count() == 0
 
