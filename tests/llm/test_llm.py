@@ -36,8 +36,9 @@ def brute(uploads, sheets=()):
     return sorted(pairs)
 
 
-@pytest.mark.parametrize("commits", [None, 1])
-def test_history_equals_brute_force(spark, commits):
+@pytest.mark.parametrize("file_rows,first_slice", [(250_000, 2_000), (300, 7)])
+def test_history_equals_brute_force(spark, monkeypatch, file_rows, first_slice):
+    monkeypatch.setattr(H.HashForest.__init__, "__defaults__", (None, file_rows, first_slice))
     rng = random.Random(3)
     rows, base = [], []
     for i in range(1, 181):
@@ -51,10 +52,30 @@ def test_history_equals_brute_force(spark, commits):
         base.append((sha, pages))
         rows.append((i, f"d{i}" if i % 50 else "d1", min(i // 40, 4), sha, pages, "x"))
     rows += [(181, "n1", 4, None, None, None), (182, None, 4, None, [], None), (183, "n3", 4, None, [], "y")]
-    got = H.find_repeats(spark.createDataFrame(rows, REG), commits).collect()
+    got = H.find_repeats(spark.createDataFrame(rows, REG)).collect()
     assert sorted((r.reg_id_1, r.reg_id_2) for r in got) == brute(rows)
 
 
+def test_history_is_opened_again_and_never_overwritten(spark, tmp_path):
+    sha, page = "ab" * 32, "00112233445566aa"
+    frame = lambda *rows: H.normalised_uploads(spark.createDataFrame(list(rows), REG))
+    first = H.HashForest(spark, f"file://{tmp_path}/forest")
+    assert first.check(frame((1, "a", 0, sha, [page], ""))).count() == 0
+    second = H.HashForest(spark, f"file://{tmp_path}/forest")
+    assert second.state == first.state
+    got = second.check(frame((2, "b", 1, None, ["00112233445566ab"], ""), (3, "c", 1, sha, None, ""), (4, "a", 1, sha, [page], "")))
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3)]
+    assert first._run(first.state["runs"]).count() > 0 and second.check(frame()).count() == 0
+
+
+def test_history_settles_many_links_in_rounds(spark, monkeypatch):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 4), (5, 6), (6, 7), (7, 8)], "r1 BIGINT, r2 BIGINT")
+    forest = H.HashForest(spark)
+    want = sorted(r.r for r in forest._repeats(links).collect())
+    monkeypatch.setattr(H, "LINKS_ONE_TASK", 0)
+    assert sorted(r.r for r in forest._repeats(links).collect()) == want == [2, 4, 6, 8]
+
+
 def test_history_parses_and_leaves_common_sheets_out(spark):
     a, b, sheet = "00112233445566aa", "f0112233445566bb", "123456789abcdef0"
     rows = [(1, "a", 0, "AB" * 32, [a, sheet], ""), (2, "b", 1, "sha256:" + "ab" * 32, ["0x" + b], ""), (3, "c", 1, None, [a.upper() + " ", "n/a", sheet], "")]
@@ -63,7 +84,7 @@ def test_history_parses_and_leaves_common_sheets_out(spark):
     assert got == [(1, 2), (1, 3)]
 
 
-def test_history_keeps_the_pages_of_a_hot_file(spark):
+def test_history_keeps_the_pages_of_a_hot_file(spark, tmp_path):
     rng = random.Random(8)
     word = lambda: rng.getrandbits(64)
     noisy = lambda h: h ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 0, 1, 2])))
@@ -78,10 +99,11 @@ def test_history_keeps_the_pages_of_a_hot_file(spark):
     rows += [[sheet, word()] for _ in range(15)] + [[noisy(sheet), word(), word()] for _ in range(15)]
     rows += [[word(), word()] for _ in range(30)]
     rng.shuffle(rows)
-    rows = [(i, f"d{i}", min(i // 40, 2), None, [f"{h:016x}" for h in pages], "") for i, pages in enumerate(rows, 1)]
+    rows = [(i, f"d{i}", min(i // 75, 2), None, [f"{h:016x}" for h in pages], "") for i, pages in enumerate(rows, 1)]
     df = spark.createDataFrame(rows, REG)
-    assert [c & (2**64 - 1) for c in H.common_sheets(H.normalised_uploads(df))] == [sheet]
-    got = sorted((r.reg_id_1, r.reg_id_2) for r in H.find_repeats(df, 1).collect())
+    forest = H.HashForest(spark, f"file://{tmp_path}/forest")
+    got = sorted((r.reg_id_1, r.reg_id_2) for r in H.find_repeats(df, forest.path).collect())
+    assert [c & (2**64 - 1) for c in H.HashForest(spark, forest.path).state["sheets"]] == [sheet]
     bare = [(*r[:4], [p for p in r[4] if bin(int(p, 16) ^ sheet).count("1") > 8], "") for r in rows]
     assert got == brute(bare) and len(got) > 50
 
@@ -103,12 +125,12 @@ def test_history_empty(spark):
 
 def test_layouts_lose_no_pair():
     rng = random.Random(1)
-    for extra in (0, 1, 2):
-        lay = H.Layout(extra)
-        assert sum(lay.masks) == 2**64 - 1
+    for k in (1, 2, 3):
+        lay = H.Layout(k)
+        assert sum(lay.blocks) == 2**64 - 1
         for _ in range(200):
             diff = sum(1 << b for b in rng.sample(range(64), 8))
-            assert any(all(not diff & lay.masks[b] for b in t) for t in lay.trees)
+            assert any(not diff & m for m in lay.masks)
 
 
 def test_survivorship(spark):
