@@ -97,8 +97,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _linkable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     alias = F.broadcast(table(spark, sf_dir, "field_aliases").select("field_name", "entity_key").distinct())  # 60 rows, fixed
     claims = table(spark, sf_dir, "claims").join(alias, "field_name").select("document_id", "field_name", "entity_key", "value")
-    rows = table(spark, sf_dir, "name_register").select("entity_id", "kind", "registered_name").distinct().collect()  # fixed
-    return claims, sorted(name_variants.Register([tuple(r) for r in rows if r.registered_name]).trades)
+    parties = claims.where("entity_key IN ('vendor_name', 'customer_name')").select(F.lit("organisation").alias("kind"), "value").distinct()
+    return claims, sorted(name_variants.learn(parties, table(spark, sf_dir, "name_register")).organisation)
 
 
 def p2_linked(spark: SparkSession, sf_dir: str) -> DataFrame:

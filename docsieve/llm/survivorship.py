@@ -13,22 +13,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsieve.runtime import written
+
 #: What people and extractors write where there is nothing.
 PLACEHOLDERS = [
     "-", "--", "---", ".", "?", "??", "???", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "unknown",
     "unreadable", "illegible", "[illegible]", "missing", "tbd", "tba", "xxx", "x", "#n/a", "not available", "not provided",
 ]
 
+#: Blanks around a value; marks of omission at its end (dots, an ellipsis, a hyphen where a word was broken off).
+EDGES, OMITTED = r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", r"[\s\x{00A0}]*(\.{2,}|[…‐-]+)[\s\x{00A0}.…]*$"
+
 
 def bare_value(value: Column) -> Column:
     """The value without surrounding blanks and without marks of omission at its end."""
-    v = F.regexp_replace(value, r"^[\s ]+|[\s ]+$", "")
-    return F.regexp_replace(v, r"(\s| )*(\.{2,}|…)(\s| |\.|…)*$", "")
+    v = F.regexp_replace(value, EDGES, "")
+    return F.regexp_replace(v, OMITTED, "")
 
 
 def is_blank(value: Column) -> Column:
     """NULL, blank, only marks, or a placeholder word."""
-    v = F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), r"^[\s ]+|[\s ]+$", ""))
+    v = F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), EDGES, ""))
     return v.isin(PLACEHOLDERS) | ~v.rlike(r"[\p{L}\p{N}]")
 
 
@@ -39,6 +44,23 @@ def trust_share(confidence: Column) -> Column:
     return F.when(c >= 0, F.round(c, 3)).otherwise(F.lit(-1.0))
 
 
+def _beginnings(values: DataFrame) -> DataFrame:
+    """The values (group_id, entity_key, v; distinct) that another value of the same field begins with.
+
+    All values are laid into one sorted order, in ranges, so that a hot field is
+    many ranges too. Each looks at the next value; the last of a range at the
+    first of the next range, of which there is one row a range.
+    """
+    key = F.struct("group_id", "entity_key", "v")
+    ordered = written(values.repartitionByRange("group_id", "entity_key", "v").withColumn("pid", F.spark_partition_id()), "values")
+    heads = ordered.groupBy("pid").agg(F.min(key).alias("head"))
+    after = heads.select("pid", F.lead("head").over(Window.orderBy("pid")).alias("head"))
+    near = ordered.withColumn("next", F.lead(key).over(Window.partitionBy("pid").orderBy("group_id", "entity_key", "v")))
+    near = near.join(F.broadcast(after), "pid").withColumn("next", F.coalesce("next", "head"))
+    same = (F.col("next.group_id") == F.col("group_id")) & (F.col("next.entity_key") == F.col("entity_key"))
+    return near.where(same & F.startswith(F.col("next.v"), F.col("v"))).select("group_id", "entity_key", "v")
+
+
 def surviving_values(claims: DataFrame, members: DataFrame) -> DataFrame:
     """The surviving claim of each (group_id, entity_key).
 
@@ -56,13 +78,7 @@ def surviving_values(claims: DataFrame, members: DataFrame) -> DataFrame:
     rows = claims.select("document_id", "claim_seq", "entity_key", "value", "confidence").join(who, "document_id")
     rows = rows.where("entity_key IS NOT NULL").withColumn("v", F.lower(bare_value(F.col("value")))).withColumn("blank", is_blank(F.col("value")))
     values = rows.where("NOT blank").select("group_id", "entity_key", "v").distinct()
-    # a beginning shares its first letter with its continuation: hot groups are split by it
-    w = Window.partitionBy("group_id", "entity_key", F.substring("v", 1, 1)).orderBy("v")
-    cut = (
-        values.withColumn("next", F.lead("v").over(w))
-        .where(F.startswith(F.col("next"), F.col("v")))
-        .select("group_id", "entity_key", "v", F.lit(True).alias("cut"))
-    )
+    cut = _beginnings(values).withColumn("cut", F.lit(True))
     rows = rows.join(cut, ["group_id", "entity_key", "v"], "left")
     best = F.struct(
         (~F.col("blank") & F.col("cut").isNull()).alias("complete"),

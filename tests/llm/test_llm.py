@@ -139,11 +139,12 @@ def test_survivorship(spark):
     claims = [
         ("a", 1, "name", "Acme Ltd", 0.5), ("b", 1, "name", "Acme…", 0.99), ("c", 1, "name", "n/a", 1.0),
         ("a", 2, "total", "5", 91.0), ("b", 2, "total", "6", 0.91), ("c", 2, "total", "7", -1.0),
+        ("a", 5, "place", "50 Harbour Ro-", 0.9), ("b", 5, "place", "50 Harbour", 0.8), ("c", 5, "place", "50 harbour Row, X", 0.1),
         ("a", 3, "lone", "x", 1.0), ("a", 4, "none", None, None), ("b", 4, "none", "", float("nan")), ("z", 1, "name", "Q", 1.0),
     ]
     df = spark.createDataFrame(claims + claims[:1], "document_id STRING, claim_seq INT, entity_key STRING, value STRING, confidence DOUBLE").withColumn("group_id", F.lit("clash"))
     got = {r.entity_key: (r.document_id, r.claim_seq) for r in survivorship.surviving_values(df, members).collect()}
-    assert got == {"name": ("a", 1), "total": ("b", 2), "none": ("b", 4)}
+    assert got == {"name": ("a", 1), "total": ("b", 2), "none": ("b", 4), "place": ("c", 5)}
     assert survivorship.surviving_values(df.limit(0), members).count() == 0
 
 
@@ -161,20 +162,38 @@ def test_ranking(spark):
 
 
 NAMES = [(1, "organisation", f"{x} Construction AG") for x in ("Farcarick",)] + [(2, "person", "Robert Brulanevik"), (3, "organisation", "Zanlizeworth Textiles Ltd")]
-NAMES += [(100 + i, "organisation", f"Quork{chr(97 + i)}zup {t} Ltd") for i, t in enumerate(["Construction", "Textiles"] * 10)]
+NAMES += [(4, "organisation", "Ace Construction Ltd")]
+NAMES += [(100 + i, "organisation", f"Quork{chr(97 + i)}zup {t} {'AG' if i % 4 < 2 else 'Ltd'}") for i, t in enumerate(["Construction", "Textiles"] * 10)]
 
 
 @pytest.mark.parametrize("kind,value,want", [
     ("organisation", "Farcarick Construction AG", 1), ("organisation", "Aktienges., Farrcarick Construction", 1), ("organisation", "M/s FARCARICK CONSTR. (HQ)", 1),
     ("organisation", "Far carick Construction", 1), ("organisation", "FarcarickConstructionAG", 1), ("organisation", "Farcarick Construction GmbH", None),
     ("organisation", "Farcarick Textiles AG", None), ("organisation", "The Zanlizeworth Txtls Limited", 3), ("organisation", "Sellomak Construction AG", None),
-    ("person", "Brulanevik, Bobby", 2), ("person", "Mr. R. Brulanevik", 2), ("person", "Thomas Brulanevik", None), ("person", "ROBERT BRULANEVIK", 2), ("person", "", None), ("person", "x" * 500, None),
+    ("person", "Brulanevik, Bobby", 2), ("person", "Mr. R. Brulanevik", 2), ("person", "Thomas Brulanevik", None), ("person", "ROBERT BRULANEVIK", 2), ("person", "", None), ("person", "x" * 500, None), ("person", "word " * 5000, None),
+    ("organisation", "Ace Construction Ltd", 4), ("organisation", "ACE CONSTR. LIMITED", 4), ("organisation", "Ale Construction Ltd", None),
+    ("organisation", "Farcarick" + " word" * 20000, None), ("person", "Rob Brulanevik", 2),
 ])
 def test_name_variants(kind, value, want):
-    m = name_variants.Register(NAMES).match(kind, value)
+    stands = lambda *x: frozenset(x)
+    lexicon = name_variants.Lexicon({"construction": stands("construction"), "textiles": stands("textiles"), "ag": stands("ag"), "ltd": stands("ltd"), "limited": stands("ltd"), "gmbh": stands("gmbh"), "aktienges": stands("ag"), "hq": stands(), "the": stands(), "ms": stands()}, {"mr": stands(), "bobby": stands("robert")})
+    m = name_variants.Register(NAMES, lexicon).match(kind, value)
     assert (m and m[0]) == want
 
 
+def test_lexicon_is_learnt_from_the_spellings(spark):
+    tells = [f"Quork{chr(97 + i)}zup" for i in range(20)]
+    values = [("organisation", f"{t} {('Constr.', 'Textiles')[k % 2]}") for k, t in enumerate(tells)]
+    values += [("organisation", f"The {t} ({x})") for t in tells for x in ("HQ",)] + [("person", f"Bobby {x}") for x in ("Brulanevik", "Kelmaronak")] + [("person", None), (None, "x")]
+    register = spark.createDataFrame(NAMES + [(900, "person", "Robert Kelmaronak")], "entity_id BIGINT, kind STRING, registered_name STRING")
+    got = name_variants.learn(spark.createDataFrame(values, "kind STRING, value STRING").distinct(), register)
+    assert got.organisation["constr"] == {"construction"} and got.organisation["hq"] == set() == got.organisation["the"]
+    assert got.person == {"bobby": {"robert"}}
+    links = name_variants.link_spellings(spark.createDataFrame(values + values[:3], "kind STRING, value STRING"), register)
+    assert {r.entity_id for r in links.where("value LIKE '%Constr.%'").collect()} == {100 + i for i in range(0, 20, 2)}
+    assert name_variants.link_spellings(spark.createDataFrame([], "kind STRING, value STRING"), register).count() == 0
+
+
 def test_trie_equals_brute_force():
     rng = random.Random(5)
     words = list({"".join(rng.choice("abc") for _ in range(rng.randint(3, 6))) for _ in range(80)})
@@ -215,17 +234,19 @@ def test_record_linkage(spark):
 
 
 def test_record_linkage_candidates_by_any_sum_or_party(spark):
-    schema = "id STRING, side INT, day INT, total BIGINT, subtotal BIGINT, seller STRING, buyer STRING"
+    schema = "id STRING, side INT, day INT, total BIGINT, net BIGINT, seller STRING, buyer STRING"
     rows = [
         ("i1", 1, 100, 1190, 1000, "farkarik", ""), ("o1", 0, 98, 1001, None, "", "zanlizeworth"),  # the order gives the net sum, a cent off
         ("i2", 1, 200, 5000, None, "farkarik", "zanlizeworth"), ("o2", 0, 199, None, None, "farkaryk", "sanlizeworth"),  # no sum, a buyer misread
         ("i3", 1, 300, 7000, None, "xarkarik", "zanlizeworth"), ("o3", 0, 299, None, 6000, "farkarik", "zanlizevorth"),  # sums of two kinds, a seller misread
+        ("i7", 1, 700, 8583_18, None, "elusbaw", "zanlizeworth"), ("o7", 0, 698, 8583_20, None, "elushav", "zanlizeworth"),  # two cents off
         ("i4", 1, None, 9000, 8000, "farkarik", ""), ("o4", 0, 400, 8000, None, "farkarik", "zanlizeworth"),  # no day, no buyer
         ("i5", 1, 500, 100, 90, "farkarik", "zanlizeworth"), ("o5", 0, 499, 300, None, "farkarik", "zanlizeworth"),  # another sum
         ("i6", 1, 600, 100, None, "farkarik", "zanlizeworth"), ("o6", 0, 601, None, None, "farkarik", "zanlizeworth"),  # ordered after the invoice
     ]
-    got = record_linkage.candidate_pairs(spark.createDataFrame(rows, schema)).collect()
-    assert sorted((r.l, r.r) for r in got) == [("i1", "o1"), ("i2", "o2"), ("i3", "o3"), ("i4", "o4")]
+    df = spark.createDataFrame(rows, schema).withColumn("seller_all", F.col("seller")).withColumn("buyer_all", F.col("buyer"))
+    got = record_linkage.linkable_pairs(df).collect()
+    assert sorted((r.l, r.r) for r in got) == [("i1", "o1"), ("i2", "o2"), ("i3", "o3"), ("i4", "o4"), ("i7", "o7")]
 
 
 def test_record_linkage_keeps_documents_of_an_open_side(spark):
@@ -248,9 +269,28 @@ def test_record_linkage_keeps_documents_of_an_open_side(spark):
     assert sorted((r.document_id_1, r.document_id_2) for r in got) == [("i1", "o1"), ("i2", "u2"), ("o3", "u3")]
 
 
-def test_assignment_uses_a_record_of_both_sides_once(spark):
-    pairs = spark.createDataFrame([("a", "u", 0.9), ("u", "b", 0.8), ("c", "b", 0.7), ("u", "v", 0.85), ("v", "u", 0.85)], "l STRING, r STRING, confidence DOUBLE")
-    assert sorted((r.l, r.r) for r in record_linkage.assign(pairs).collect()) == [("a", "u"), ("c", "b")]
+def _greatest(edges):
+    if not edges:
+        return 0.0
+    (a, b, w), rest = edges[0], edges[1:]
+    return max(_greatest(rest), w + _greatest([e for e in rest if not {a, b} & {e[0], e[1]}]))
+
+
+def test_assignment_has_the_greatest_total(spark, monkeypatch):
+    schema = "l STRING, r STRING, confidence DOUBLE"
+    pairs = [("a", "u", 0.9), ("u", "b", 0.8), ("c", "b", 0.7), ("u", "v", 0.85), ("v", "u", 0.85)]  # u stands on both sides
+    got = record_linkage.assign(spark.createDataFrame(pairs, schema)).collect()
+    assert len({x for r in got for x in (r.l, r.r)}) == 4 and sum(r.confidence for r in got) == pytest.approx(_greatest(pairs))
+    rng = random.Random(9)
+    for sides in (["l1 l2 l3 l4".split(), "r1 r2 r3 r4".split()], ["x1 x2 x3 x4 x5".split()] * 2):
+        for _ in range(60):
+            edges = list({(a, b): (a, b, rng.randint(75, 100) / 100) for a in sides[0] for b in sides[1] if a < b and rng.random() < 0.6}.values())
+            best = record_linkage.best_assignment(edges)
+            assert len({x for e in best for x in e[:2]}) == 2 * len(best) and sum(e[2] for e in best) == pytest.approx(_greatest(edges))
+    trap = [("l1", "r1", 0.9), ("l1", "r2", 0.85), ("l2", "r1", 0.86)]  # the best pair first would be the worse choice
+    assert sorted((r.l, r.r) for r in record_linkage.assign(spark.createDataFrame(trap, schema)).collect()) == [("l1", "r2"), ("l2", "r1")]
+    monkeypatch.setattr(record_linkage, "EXACT_PAIRS", 0)
+    assert [(r.l, r.r) for r in record_linkage.assign(spark.createDataFrame(trap, schema)).collect()] == [("l1", "r1")]
 
 
 def test_packing(spark):
