@@ -79,9 +79,9 @@ def prose(text: str) -> str:
     """The text without the lines of tables and labels, whose words are no sentences."""
     keep = []
     for line in re.split(r"[\r\n]+", text):
-        if _ITEM.match(line):
-            continue
         words = _WORD.findall(line)
+        if len(words) < SENTENCE_WORDS and _ITEM.match(line):
+            continue  # a line with words for a whole sentence is always read
         if len(words) <= 9:
             body = line.strip().rstrip("|").rstrip()
             low = sum(w[0].islower() for w in words)
@@ -214,7 +214,7 @@ def segments(model: WordModel, text: str, prior: np.ndarray) -> list[tuple[int,
 
 
 def host_priors(docs: DataFrame) -> DataFrame:
-    """(source, prior): log prior of each language per source, smoothed towards its kind and all.
+    """(source, counts): documents that declare each language, of the source, of its kind, of all (three lists).
 
     ``docs``: source, declared. The kind is the source's name without its number.
     Grouped aggregations over all documents; a source without labels has its kind's prior.
@@ -226,16 +226,21 @@ def host_priors(docs: DataFrame) -> DataFrame:
     by_kind = host.groupBy("kind").agg(*[F.sum(x).alias(f"k_{x}") for x in LANGS])
     all_ = host.agg(*[F.sum(x).alias(f"a_{x}") for x in LANGS])
     joined = host.join(by_kind, "kind").crossJoin(F.broadcast(all_))  # all_ is one row
+    return joined.select("source", F.array(*[F.array(*[F.col(f"{p}{x}").cast("double") for x in LANGS]) for p in ("", "k_", "a_")]).alias("counts"))
 
-    def total(prefix: str) -> Column:
-        return sum((F.col(f"{prefix}{x}") for x in LANGS[1:]), F.col(f"{prefix}{LANGS[0]}"))
 
-    logs = []
-    for x in LANGS:
-        top = (F.col(f"a_{x}") + 1) / (total("a_") + len(LANGS))
-        mid = (F.col(f"k_{x}") + SMOOTHING * top) / (total("k_") + SMOOTHING)
-        logs.append(F.log((F.col(x) + SMOOTHING * mid) / (total("") + SMOOTHING)))
-    return joined.select("source", F.array(*logs).alias("prior"))
+def log_prior(counts: np.ndarray, declared: str | None) -> np.ndarray:
+    """Log prior of each language from the counts of ``host_priors``, smoothed towards the host's kind and all.
+
+    The document's own label is taken out of the counts, as it is evidence by itself.
+    """
+    n = np.array(counts, float)
+    if declared in LANGS:
+        n[:, LANGS.index(declared)] -= 1
+    n = np.maximum(n, 0)
+    top = (n[2] + 1) / (n[2].sum() + len(LANGS))
+    mid = (n[1] + SMOOTHING * top) / (n[1].sum() + SMOOTHING)
+    return np.log((n[0] + SMOOTHING * mid) / (n[0].sum() + SMOOTHING))
 
 
 def train(documents: DataFrame, bound: int = TRAIN_DOCS) -> WordModel:
@@ -265,15 +270,15 @@ def label_segments(documents: DataFrame, model: WordModel) -> DataFrame:
     )
     # written, so that its size is known: few hosts are broadcast, many are joined by a shuffle
     priors = written(host_priors(base.select("source", "declared")), "host-priors")
-    rows = base.join(priors, "source", "left").select("doc_id", "text", "declared", "prior")
+    rows = base.join(priors, "source", "left").select("doc_id", "text", "declared", "counts")
     names = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
             out = []
-            for doc_id, text, declared, prior in zip(b["doc_id"], b["text"], b["declared"], b["prior"]):
-                lp = np.array(prior, float) if prior is not None else np.zeros(len(LANGS))
+            for doc_id, text, declared, counts in zip(b["doc_id"], b["text"], b["declared"], b["counts"]):
+                lp = log_prior(np.stack(counts), declared) if counts is not None else np.zeros(len(LANGS))
                 if declared in LANGS:
                     d = np.full(len(LANGS), math.log((1 - DECLARED) / (len(LANGS) - 1)))
                     d[LANGS.index(declared)] = math.log(DECLARED)

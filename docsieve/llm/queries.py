@@ -33,14 +33,13 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three least trusted items of each review queue."""
-    scored = rank_fusion.standard_score(_items(spark, sf_dir), ["queue_id", "item_id"], SIGNALS, {"native_ocr": "engine"})
-    return rank_fusion.least_trusted(scored, "queue_id", "item_id", 3)
+    return rank_fusion.least_by_distance(_items(spark, sf_dir), "queue_id", "item_id", SIGNALS, {"native_ocr": "engine"}, 3)
 
 
 def p5_median_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median rank aggregation of each queue's items."""
-    out = rank_fusion.median_rank(_items(spark, sf_dir), "queue_id", "item_id", SIGNALS)
-    return out.select("queue_id", "item_id", F.round("median_rank", 6).alias("median_rank"), F.round("mean_rank", 6).alias("mean_rank"))
+    out = rank_fusion.positions(rank_fusion.median_rank(_items(spark, sf_dir), "queue_id", "item_id", SIGNALS), "queue_id", "item_id")
+    return out.select("queue_id", "item_id", "position", F.round("median_rank", 6).alias("median_rank"), F.round("mean_rank", 6).alias("mean_rank"))
 
 
 def _eval_items(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
@@ -58,6 +57,12 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_spans(table(spark, sf_dir, "documents"), _eval_items(spark, sf_dir))
 
 
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its leaked spans: length and digest of the text that is left, spans cut."""
+    out = leakage.without_leaks(table(spark, sf_dir, "documents"), _eval_items(spark, sf_dir))
+    return out.select("doc_id", "n_removed", F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a missing, wrong or too narrow label, and the languages they are written in."""
     docs = table(spark, sf_dir, "documents")
@@ -111,5 +116,41 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_linked(spark, sf_dir).select("document_id_1", "document_id_2")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_linked, p3_found, p4_found, p5_found, p5_median_rank, p6_packed, p7_found, p7_spans, p8_found, p8_segments)}
-SQL: dict[str, str] = {}
+_EDGES, _OMITTED = r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", r"[\s\x{00A0}]*(\.{2,}|[…‐-]+)[\s\x{00A0}.…]*$"
+_PLACE = ", ".join("'" + x + "'" for x in survivorship.PLACEHOLDERS)
+_P4 = f"""WITH who AS (SELECT document_id, group_id, max(processed_at) processed_at FROM results WHERE group_id IS NOT NULL AND document_id IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT DISTINCT field_name, entity_key FROM field_aliases),
+x AS MATERIALIZED (SELECT group_id, entity_key, document_id, claim_seq, processed_at,
+  lower(regexp_replace(regexp_replace(value, '{_EDGES}', '', 'g'), '{_OMITTED}', '')) v,
+  lower(regexp_replace(coalesce(value, ''), '{_EDGES}', '', 'g')) IN ({_PLACE}) OR NOT regexp_matches(coalesce(value, ''), '[\\p{{L}}\\p{{N}}]') blank,
+  CASE WHEN confidence >= 0 THEN round(CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END, 3) ELSE -1.0 END trust
+  FROM claims JOIN a USING (field_name) JOIN who USING (document_id) WHERE entity_key IS NOT NULL),
+vals AS (SELECT DISTINCT group_id, entity_key, v FROM x WHERE NOT blank),
+cut AS (SELECT DISTINCT p.group_id, p.entity_key, p.v FROM vals p JOIN vals q ON p.group_id = q.group_id AND p.entity_key = q.entity_key AND p.v <> q.v AND starts_with(q.v, p.v)),
+r AS (SELECT x.*, row_number() OVER (PARTITION BY group_id, entity_key ORDER BY (NOT blank AND cut.v IS NULL) DESC, trust DESC, processed_at DESC NULLS LAST, document_id DESC, claim_seq) rn,
+  min(document_id) OVER (PARTITION BY group_id, entity_key) d1, max(document_id) OVER (PARTITION BY group_id, entity_key) d2
+  FROM x LEFT JOIN cut USING (group_id, entity_key, v))
+SELECT group_id, entity_key, document_id, claim_seq FROM r WHERE rn = 1 AND d1 <> d2"""
+_ITEMS = """it AS (SELECT * FROM (SELECT queue_id, item_id, engine, native_ocr, agreement_signal, consistency_signal, validation_signal, row_number() OVER (PARTITION BY queue_id, item_id
+  ORDER BY scored_at DESC NULLS LAST, native_ocr DESC NULLS LAST, agreement_signal DESC NULLS LAST, consistency_signal DESC NULLS LAST, validation_signal DESC NULLS LAST, engine DESC NULLS LAST) rn
+  FROM confidence_breakdowns WHERE queue_id IS NOT NULL AND item_id IS NOT NULL) WHERE rn = 1)"""
+
+
+def _z(c: str, over: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN coalesce(({c} - avg({c}) OVER ({over})) / nullif(stddev_pop({c}) OVER ({over}), 0), 0) END"
+
+
+_P5 = f"""WITH {_ITEMS}, z AS (SELECT queue_id, item_id, {_z('native_ocr', 'PARTITION BY engine')} a, {', '.join(f"{_z(c, '')} {n}" for c, n in zip(SIGNALS[1:], 'bcd'))} FROM it),
+r AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY coalesce(list_avg(list_filter([a, b, c, d], lambda x: x IS NOT NULL)), 0), item_id) rn FROM z) SELECT queue_id, item_id FROM r WHERE rn <= 3"""
+
+
+def _r(c: str, n: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY queue_id, {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY queue_id, {c}) - 1) / 2.0::double) / count({c}) OVER (PARTITION BY queue_id) END {n}"
+
+
+_P5M = f"""WITH {_ITEMS}, k AS (SELECT queue_id, item_id, {', '.join(_r(c, n) for c, n in zip(SIGNALS, 'abcd'))} FROM it),
+m AS (SELECT queue_id, item_id, list_median(list_filter([a, b, c, d], lambda x: x IS NOT NULL)) m, list_avg(list_filter([a, b, c, d], lambda x: x IS NOT NULL)) n FROM k)
+SELECT queue_id, item_id, row_number() OVER (PARTITION BY queue_id ORDER BY round(m, 9) NULLS LAST, round(n, 9) NULLS LAST, item_id) "position", round(m, 6) median_rank, round(n, 6) mean_rank FROM m"""
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_linked, p3_found, p4_found, p5_found, p5_median_rank, p6_packed, p7_found, p7_spans, p7_cleaned, p8_found, p8_segments)}
+SQL: dict[str, str] = {"p4_found": _P4, "p5_found": _P5, "p5_median_rank": _P5M}
