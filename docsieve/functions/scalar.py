@@ -44,9 +44,9 @@ def first_date(value: Column, patterns: list[str]) -> Column:
 
 
 # fixed values: date notations, in order of precedence
-AGREEMENT_DATES = ["yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy"]
-EVALUATION_DATES = ["yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "MMMM d, yyyy", "MMM d, yyyy"]
-VALIDATION_DATES = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d", "MMMM d, yyyy", "d MMMM yyyy"]
+AGREEMENT_DATES = ["yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "M-d-yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy"]
+EVALUATION_DATES = ["yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "M-d-yyyy"]
+VALIDATION_DATES = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "yyyy/M/d", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy", "M.d.yyyy"]
 
 
 def bare(value: Column) -> Column:
@@ -54,20 +54,23 @@ def bare(value: Column) -> Column:
     return F.regexp_replace(F.lower(value), "[^a-z0-9]", "")
 
 
+def readable(value: Column, kind: Column) -> tuple[Column, Column]:
+    """(number, date) of a value, each only where its field type asks for it; compute them once, before any join."""
+    return F.when(kind == "NUMERIC", parse_number(value)), F.when(kind == "DATE", first_date(value, AGREEMENT_DATES))
+
+
 def agreement(a: Column, b: Column, kind: Column) -> Column:
     """How two readings of a field agree, by its type; single_source if one is NULL."""
-    return agreement_of(a, b, kind, (parse_number(a), first_date(a, AGREEMENT_DATES)), (parse_number(b), first_date(b, AGREEMENT_DATES)))
+    return agreement_of(a, b, kind, readable(a, kind), readable(b, kind))
 
 
 def agreement_of(a: Column, b: Column, kind: Column, read_a: tuple[Column, Column], read_b: tuple[Column, Column]) -> Column:
-    """``agreement`` of values whose number and date have been read before."""
+    """``agreement`` of values whose number and date have been read before (``readable``)."""
     (na, da), (nb, db) = read_a, read_b
-    ta, tb = F.trim(a), F.trim(b)
-    longest = F.greatest(F.length(ta), F.length(tb))
-    lev = F.levenshtein(ta, tb)
+    ta, tb, xa, xb = F.trim(a), F.trim(b), bare(a), bare(b)
+    longest, lev = F.greatest(F.length(xa), F.length(xb)), F.levenshtein(xa, xb)
     text = (
-        F.when(ta == tb, "ocr==vision")
-        .when((bare(ta) == bare(tb)) & (bare(ta) != ""), "ocr==vision")
+        F.when((ta == tb) | ((xa == xb) & (xa != "")), "ocr==vision")
         .when((longest > 0) & (((lev <= 2) & (longest >= 5)) | ((longest - lev) / longest >= 0.85)), "ocr_near_match")
         .otherwise("ocr!=vision")
     )
@@ -98,15 +101,22 @@ def fused(native: Column, agree: Column, consistency: Column, passed: Column, ca
     return F.when(~passed, F.least(total, F.coalesce(cap, F.lit(0.50)))).otherwise(total)
 
 
-def values_match(extracted: Column, truth: Column) -> Column:
-    """Whether a value equals its label in meaning: amount, date, or the label inside the value."""
+def values_match(extracted: Column, truth: Column, field_name: Column) -> Column:
+    """Whether a value equals its label in meaning, by the field's type; two NULLs do, one doesn't.
+
+    Identifiers must be equal but for blanks around; amounts within two cents
+    (unreadable ones never match); dates as dates, else as text; free text
+    without case and marks, or the label inside the value (never the reverse).
+    """
+    kind = field_type(field_name)
     ne, ng = parse_number(extracted), parse_number(truth)
     de, dg = first_date(extracted, EVALUATION_DATES), first_date(truth, EVALUATION_DATES)
-    be, bg = bare(extracted), bare(truth)
+    be, bg, same = bare(extracted), bare(truth), F.trim(extracted) == F.trim(truth)
     return (
         F.when(extracted.isNull() & truth.isNull(), True).when(extracted.isNull() | truth.isNull(), False)
-        .when(ne.isNotNull() & ng.isNotNull(), F.abs(ne - ng) <= dims.MONEY_TOLERANCE)
-        .when(de.isNotNull() & dg.isNotNull(), de == dg)
+        .when(kind == "IDENTIFIER", same)
+        .when(kind == "NUMERIC", F.coalesce(F.abs(ne - ng) <= dims.MONEY_TOLERANCE, F.lit(False)))
+        .when(kind == "DATE", F.when(de.isNotNull() & dg.isNotNull(), de == dg).otherwise(same))
         .otherwise((be == bg) | ((F.length(bg) >= 3) & F.contains(be, bg)))
     )
 
@@ -115,8 +125,8 @@ def entity_key(name: Column) -> Column:
     """Canonical key of a field name; the first key with an alias that equals it, or holds it or is held in it."""
     n = F.lower(F.regexp_replace(name, "[^a-zA-Z0-9]", ""))
     out = None
-    for key, aliases in dims.ENTITY_ALIASES:
-        names = aliases.split()
+    for key, aliases in dims.ENTITY_ALIASES.items():
+        names = list(dict.fromkeys(a.replace("_", "") for a in aliases))
         hit = n.isin(names)
         for a in (x for x in names if len(x) >= 6):
             hit = hit | F.contains(n, F.lit(a)) | F.contains(F.lit(a), n)
@@ -124,6 +134,25 @@ def entity_key(name: Column) -> Column:
     return out.otherwise(n)
 
 
+def quoted(value: Column) -> Column:
+    """A text in quotes as reports show it: single ones, or double ones around a text with only single ones in it."""
+    apostrophe, plain = F.contains(value, F.lit("'")), F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    return F.when(apostrophe & ~F.contains(value, F.lit('"')), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def low_confidence_reason(name: Column, final: Column, threshold: float = dims.ESCALATE_BELOW) -> Column:
+    return F.concat(F.lit("Field '"), name, F.lit("': final confidence "), F.format_string("%.3f", final), F.lit(f" < threshold {threshold:.2f}"))
+
+
+def disagreement_reason(name: Column, value: Column) -> Column:
+    return F.concat(F.lit("Field '"), name, F.lit("': ocr!=vision disagreement (Path A="), quoted(value), F.lit(" selected; paths diverged)"))
+
+
+def money_text(value: Column) -> Column:
+    """Currency, commas and blanks dropped, and all dots but the last (4.580.49 becomes 4580.49)."""
+    return F.regexp_replace(F.regexp_replace(value, r"[$, ]", ""), r"[.](?=.*[.])", "")
+
+
 def redacted(key: Column, value: Column) -> Column:
     """The value, or a digest of it if the key names something sensitive."""
     digest = F.concat(F.lit("[REDACTED:sha256="), F.substring(F.sha2(value.cast("binary"), 256), 1, 12), F.lit("]"))
@@ -137,10 +166,11 @@ def file_format(content: Column) -> Column:
     def starts(*prefixes: str) -> Column:
         return reduce(lambda x, y: x | y, [F.startswith(head, F.lit(p)) for p in prefixes])
 
+    heic = (F.substring(head, 9, 8) == "66747970") & F.substring(head, 17, 8).isin("68656963", "6D696631", "6D736631", "68656978", "68657663")
     return (
         F.when(content.isNull(), None)
-        .when(starts("25504446"), "pdf").when(starts("89504E470D0A1A0A"), "png").when(starts("FFD8FF"), "jpeg")
-        .when(starts("49492A00", "4D4D002A"), "tiff").when(F.substring(head, 9, 8) == "66747970", "heic")
+        .when(starts("255044462D"), "pdf").when(starts("89504E470D0A1A0A"), "png").when(starts("FFD8FF"), "jpeg")
+        .when(starts("49492A00", "4D4D002A"), "tiff").when(heic, "heic")
         .when(starts("504B0304"), "zip").otherwise("UNKNOWN")
     )
 
@@ -152,7 +182,7 @@ def hamming(a: Column, b: Column) -> Column:
 def integrity_score(flags: Column) -> Column:
     """1 less the penalties of the flags, within 0 and 1, to three decimals."""
     p = F.create_map(*[F.lit(x) for kv in dims.FLAG_PENALTIES.items() for x in kv])
-    total = F.aggregate(flags, F.lit(0.0), lambda acc, f: acc + F.coalesce(F.try_element_at(p, f), F.lit(dims.DEFAULT_PENALTY)))
+    total = F.aggregate(F.coalesce(flags, F.array().cast("array<string>")), F.lit(0.0), lambda acc, f: acc + F.coalesce(F.try_element_at(p, f), F.lit(dims.DEFAULT_PENALTY)))
     return half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - total)), 3)
 
 

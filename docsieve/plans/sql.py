@@ -25,37 +25,42 @@ def number(c: str, strip: bool = True) -> str:
 
 
 def date(c: str, formats: list[str]) -> str:
-    return f"cast(coalesce({', '.join(f'try_strptime(trim({c}), {f!r})' for f in formats)}) as date)"
+    return f"cast(try_strptime(trim({c}), {formats!r}) as date)"
 
 
-AGREEMENT_DATES = ["%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y"]
-EVALUATION_DATES = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%B %d, %Y", "%b %d, %Y"]
-VALIDATION_DATES = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%d.%m.%Y", "%Y/%m/%d", "%B %d, %Y", "%d %B %Y"]
+AGREEMENT_DATES = ["%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y", "%d-%m-%Y", "%m-%d-%Y", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y"]
+EVALUATION_DATES = ["%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y", "%d-%m-%Y", "%m-%d-%Y"]
+VALIDATION_DATES = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%d-%m-%Y", "%m-%d-%Y", "%d.%m.%Y", "%m.%d.%Y"]
 
 
 def bare(c: str) -> str:
     return f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
 
 
+def read(c: str, k: str, name: str) -> str:
+    """Columns: the number, the date, the trimmed and the bare text of a value, to be read once."""
+    return f"CASE WHEN {k} = 'NUMERIC' THEN {number(c)} END n_{name}, CASE WHEN {k} = 'DATE' THEN {date(c, AGREEMENT_DATES)} END d_{name}, trim({c}) t_{name}, {bare(c)} x_{name}"
+
+
 def agreement(a: str, b: str, k: str) -> str:
-    na, nb, da, db = number(a), number(b), date(a, AGREEMENT_DATES), date(b, AGREEMENT_DATES)
-    n, lev = f"greatest(length(trim({a})), length(trim({b})))", f"levenshtein(trim({a}), trim({b}))"
-    return f"""(CASE WHEN {a} IS NULL OR {b} IS NULL THEN 'single_source'
-      WHEN {k} = 'IDENTIFIER' THEN CASE WHEN trim({a}) = trim({b}) THEN 'ocr==vision' ELSE 'ocr!=vision' END
-      WHEN {k} = 'NUMERIC' AND {na} IS NOT NULL AND {nb} IS NOT NULL THEN
-        CASE WHEN abs({na} - {nb}) < 0.01 THEN 'ocr==vision' WHEN abs({na} - {nb}) <= 1.0 THEN 'ocr_near_match' ELSE 'ocr!=vision' END
-      WHEN {k} = 'DATE' AND {da} IS NOT NULL AND {db} IS NOT NULL THEN CASE WHEN {da} = {db} THEN 'ocr==vision' ELSE 'ocr!=vision' END
-      WHEN trim({a}) = trim({b}) THEN 'ocr==vision'
-      WHEN {bare(a)} = {bare(b)} AND {bare(a)} <> '' THEN 'ocr==vision'
+    """From the columns of ``read`` under the names a and b."""
+    n, lev = f"greatest(length(x_{a}), length(x_{b}))", f"levenshtein(x_{a}, x_{b})"
+    return f"""(CASE WHEN t_{a} IS NULL OR t_{b} IS NULL THEN 'single_source'
+      WHEN {k} = 'IDENTIFIER' THEN CASE WHEN t_{a} = t_{b} THEN 'ocr==vision' ELSE 'ocr!=vision' END
+      WHEN n_{a} IS NOT NULL AND n_{b} IS NOT NULL THEN
+        CASE WHEN abs(n_{a} - n_{b}) < 0.01 THEN 'ocr==vision' WHEN abs(n_{a} - n_{b}) <= 1.0 THEN 'ocr_near_match' ELSE 'ocr!=vision' END
+      WHEN d_{a} IS NOT NULL AND d_{b} IS NOT NULL THEN CASE WHEN d_{a} = d_{b} THEN 'ocr==vision' ELSE 'ocr!=vision' END
+      WHEN t_{a} = t_{b} OR (x_{a} = x_{b} AND x_{a} <> '') THEN 'ocr==vision'
       WHEN {n} > 0 AND (({lev} <= 2 AND {n} >= 5) OR ({n} - {lev}) / {n} >= 0.85) THEN 'ocr_near_match'
       ELSE 'ocr!=vision' END)"""
 
 
-def matches(e: str, g: str) -> str:
-    ne, ng, de, dg = number(e), number(g), date(e, EVALUATION_DATES), date(g, EVALUATION_DATES)
+def matches(e: str, g: str, name: str) -> str:
+    k, de, dg, same = kind(name), date(e, EVALUATION_DATES), date(g, EVALUATION_DATES), f"trim({e}) = trim({g})"
     return f"""(CASE WHEN {e} IS NULL AND {g} IS NULL THEN true WHEN {e} IS NULL OR {g} IS NULL THEN false
-      WHEN {ne} IS NOT NULL AND {ng} IS NOT NULL THEN abs({ne} - {ng}) <= 0.02
-      WHEN {de} IS NOT NULL AND {dg} IS NOT NULL THEN {de} = {dg}
+      WHEN {k} = 'IDENTIFIER' THEN {same}
+      WHEN {k} = 'NUMERIC' THEN coalesce(abs({number(e)} - {number(g)}) <= 0.02, false)
+      WHEN {k} = 'DATE' THEN CASE WHEN {de} IS NOT NULL AND {dg} IS NOT NULL THEN {de} = {dg} ELSE {same} END
       ELSE {bare(e)} = {bare(g)} OR (length({bare(g)}) >= 3 AND contains({bare(e)}, {bare(g)})) END)"""
 
 
@@ -70,8 +75,8 @@ def fused(native: str, agree: str, cons: str, passed: str, cap: str) -> str:
 def entity(c: str) -> str:
     n = f"lower(regexp_replace({c}, '[^a-zA-Z0-9]', '', 'g'))"
     whens = []
-    for key, aliases in dims.ENTITY_ALIASES:
-        names = aliases.split()
+    for key, aliases in dims.ENTITY_ALIASES.items():
+        names = [a.replace("_", "") for a in aliases]
         hit = [f"{n} IN ({', '.join(repr(x) for x in names)})"]
         hit += [f"contains({n}, '{a}') OR contains('{a}', {n})" for a in names if len(a) >= 6]
         whens.append(f"WHEN {' OR '.join(hit)} THEN '{key}'")
@@ -95,51 +100,71 @@ def _rows(name: str, values: dict[str, str], conf: str, where: str = "true") ->
 _id = "'INV-' || year(od) || '-' || k"
 A = _rows("a", {
     "InvoiceId": f"CASE WHEN k % 19 = 0 THEN 'inv#' || k ELSE {_id} END", "CustomerName": "nm", "InvoiceDate": ymd("od"),
-    "DueDate": f"CASE WHEN k % 17 = 0 THEN NULL WHEN k % 29 = 0 THEN 'not-a-date' WHEN k % 23 = 0 THEN {ymd('od - 5')} ELSE {ymd('od + 30')} END",
+    "DueDate": f"CASE WHEN k % 17 = 0 THEN NULL WHEN k % 29 = 0 THEN 'not-a-date' WHEN k % 23 = 0 THEN {ymd('od - 5')} WHEN k % 43 = 0 THEN {ymd('od')} ELSE {ymd('od + 30')} END",
     "Subtotal": money("sub"), "TotalTax": money("tax"), "InvoiceTotal": f"CASE WHEN k % 31 = 0 THEN {money('total + 10000')} ELSE {money('total')} END",
 }, "0.80::double + (k % 20) / 100.0::double")
 B = _rows("b", {
     "InvoiceId": f"CASE WHEN k % 19 = 0 THEN 'inv#' || k WHEN k % 7 = 1 THEN {_id} || 'I' ELSE {_id} END",
-    "CustomerName": "CASE WHEN k % 7 = 2 THEN substr(nm, 1, length(nm) - 1) WHEN k % 7 = 3 THEN 'Unrelated Trading ' || k ELSE upper(nm) END",
-    "InvoiceDate": f"CASE WHEN k % 7 = 4 THEN {ymd('od', '%m/%d/%Y')} WHEN k % 11 = 5 THEN {ymd('od + 1')} ELSE {ymd('od')} END",
-    "DueDate": f"CASE WHEN k % 29 = 0 THEN 'not-a-date' WHEN k % 23 = 0 THEN {ymd('od - 5')} ELSE {ymd('od + 30')} END",
+    "CustomerName": "CASE WHEN k % 7 = 2 THEN upper(substr(nm, 1, length(nm) - 1)) WHEN k % 7 = 3 THEN 'Unrelated O''Trading ' || k ELSE upper(nm) END",
+    "InvoiceDate": f"CASE WHEN k % 7 = 4 THEN {ymd('od', '%m/%d/%Y')} WHEN k % 7 = 5 THEN {ymd('od', '%d-%m-%Y')} WHEN k % 11 = 5 THEN {ymd('od + 1')} ELSE {ymd('od')} END",
+    "DueDate": f"CASE WHEN k % 29 = 0 THEN 'not-a-date' WHEN k % 23 = 0 THEN {ymd('od - 5')} WHEN k % 43 = 0 THEN {ymd('od')} ELSE {ymd('od + 30')} END",
     "Subtotal": f"CASE WHEN k % 11 = 1 THEN {money('sub + 50')} WHEN k % 11 = 2 THEN {money('sub + 500')} ELSE {money('sub')} END",
     "TotalTax": f"CASE WHEN k % 13 = 0 THEN NULL ELSE {money('tax')} END",
-    "InvoiceTotal": f"'$' || CASE WHEN k % 31 = 0 THEN {money('total + 10000')} ELSE {money('total')} END",
+    "InvoiceTotal": f"CASE WHEN k % 3 = 0 THEN '$' ELSE '' END || CASE WHEN k % 31 = 0 THEN {money('total + 10000')} ELSE {money('total')} END",
 }, "0.80::double + ((k * 7) % 20) / 100.0::double")
 T = _rows("t", {
-    "InvoiceId": _id, "CustomerName": "nm", "InvoiceDate": ymd("od"), "DueDate": ymd("od + 30"),
+    "InvoiceId": _id, "CustomerName": "nm", "InvoiceDate": ymd("od", "%d-%m-%Y"), "DueDate": ymd("od + 30"),
     "Subtotal": money("sub"), "TotalTax": money("tax"), "InvoiceTotal": money("total"),
-}, "1.0::double", "k % 13 <> 0")
+}, "1.0::double", "k % 13 <> 0")  # a NULL label is no label
 _pen = "(CASE agreement WHEN 'ocr_near_match' THEN 0.95::double WHEN 'ocr!=vision' THEN 0.90::double ELSE 1.0::double END)"
 _use_a = "(value_b IS NULL OR (value_a IS NOT NULL AND conf_a >= conf_b))"
-J = f"""j0 AS (SELECT coalesce(a.document_id, b.document_id) document_id, coalesce(a.field_name, b.field_name) field_name, a.value value_a, a.conf conf_a, b.value value_b, b.conf conf_b
-  FROM a FULL JOIN b ON a.document_id = b.document_id AND a.field_name = b.field_name),
-j1 AS (SELECT *, {agreement('value_a', 'value_b', kind('field_name'))} agreement FROM j0),
-j AS (SELECT *, CASE WHEN {_use_a} THEN value_a ELSE value_b END AS value, {half_up(f'(CASE WHEN {_use_a} THEN conf_a ELSE conf_b END) * {_pen}', 3)} native FROM j1)"""
-_w = ", ".join(f"max(CASE WHEN field_name = '{n}' THEN value END) {c}" for n, c in (("Subtotal", "s"), ("TotalTax", "x"), ("InvoiceTotal", "g"), ("InvoiceDate", "i"), ("DueDate", "u")))
-_ok = f"abs({number('s')} + {number('x')} - {number('g')}) <= 0.02"
-_di, _du = date("i", VALIDATION_DATES), date("u", VALIDATION_DATES)
-
-
-def _date_row(name: str, bad: str) -> str:
-    return f"""SELECT document_id, '{name}' field_name, CASE WHEN {bad} THEN 'DATE_UNPARSEABLE' WHEN {_di} > {_du} THEN 'DATE_ORDER_VIOLATION' WHEN NOT ({_di} > {_du}) THEN 'DATE_LOGIC_OK' END flag,
-      CASE WHEN {bad} THEN 0.40::double WHEN {_di} > {_du} THEN 0.45::double END cap FROM w"""
-
-
-CHECKS = f"""w AS (SELECT document_id, {_w} FROM j GROUP BY 1),
-c_arith AS (SELECT document_id, f field_name, CASE WHEN {_ok} THEN 'ARITHMETIC_OK' WHEN NOT ({_ok}) THEN 'ARITHMETIC_INCONSISTENCY' END flag, CASE WHEN NOT ({_ok}) THEN 0.50::double END cap
-  FROM w, (VALUES ('Subtotal'), ('TotalTax'), ('InvoiceTotal')) v(f)),
-c_date AS ({_date_row('InvoiceDate', f'(i IS NOT NULL AND {_di} IS NULL)')} UNION ALL {_date_row('DueDate', f'(u IS NOT NULL AND {_du} IS NULL)')}),
-c_id AS (SELECT document_id, field_name, CASE WHEN regexp_matches(value, '^[A-Z]{{2,6}}-\\d{{4}}-[A-Za-z0-9]+$') THEN 'ID_FORMAT_OK' ELSE 'ID_FORMAT_FAIL' END flag,
-  CASE WHEN NOT regexp_matches(value, '^[A-Z]{{2,6}}-\\d{{4}}-[A-Za-z0-9]+$') THEN 0.55::double END cap FROM j WHERE field_name = 'InvoiceId' AND value IS NOT NULL),
-chk AS (SELECT document_id, field_name, flag, flag LIKE '%_OK' passed, cap FROM (SELECT * FROM c_arith UNION ALL SELECT * FROM c_date UNION ALL SELECT * FROM c_id) WHERE flag IS NOT NULL)"""
-STEADY = f"""cons AS (SELECT document_id, field_name, {half_up("(1 + CASE WHEN document_id % 9 = 0 THEN CASE WHEN value = '?' THEN 1 ELSE 0 END ELSE 1 END + CASE WHEN document_id % 6 = 0 THEN 0 ELSE 1 END) / 3.0::double", 3)} consistency
-  FROM a WHERE document_id % 5 <> 0)"""
-SCORED = f"""v AS (SELECT document_id, field_name, bool_and(passed) passed, min(cap) cap FROM chk GROUP BY 1, 2),
-sc0 AS (SELECT j.*, consistency, coalesce(passed, true) passed, cap FROM j LEFT JOIN v USING (document_id, field_name) LEFT JOIN cons USING (document_id, field_name)),
-sc AS (SELECT *, {fused('native', 'agreement', 'consistency', 'passed', 'cap')} final, {fused('native', 'agreement', '1.0::double', 'passed', 'cap')} best FROM sc0)"""
-CHAIN = ",\n".join([ORDERS, A, B, J, CHECKS, STEADY, SCORED])
+_conf = f"(CASE WHEN {_use_a} THEN conf_a ELSE conf_b END)"
+
+
+def joined(a: str, b: str, name: str, page: bool = False) -> str:
+    """Both paths side by side with agreement, value and native confidence, as name."""
+    keys = ["document_id", *(["page"] if page else []), "field_name"]
+    on = " AND ".join(f"a.{c} = b.{c}" for c in keys)
+    return f"""{name}0 AS MATERIALIZED (SELECT {', '.join(f'coalesce(a.{c}, b.{c}) {c}' for c in keys)}, a.value value_a, a.conf conf_a, b.value value_b, b.conf conf_b FROM {a} a FULL JOIN {b} b ON {on}),
+{name}k AS MATERIALIZED (SELECT *, {kind('field_name')} kind FROM {name}0),
+{name}1 AS MATERIALIZED (SELECT *, {read('value_a', 'kind', 'a')}, {read('value_b', 'kind', 'b')} FROM {name}k),
+{name}2 AS MATERIALIZED (SELECT *, {agreement('a', 'b', 'kind')} agreement FROM {name}1),
+{name} AS MATERIALIZED (SELECT {', '.join(keys)}, value_a, conf_a, value_b, conf_b, agreement, CASE WHEN {_use_a} THEN value_a ELSE value_b END AS value,
+  CASE WHEN agreement = 'single_source' THEN {_conf} ELSE {half_up(f'{_conf} * {_pen}', 3)} END native FROM {name}2)"""
+
+
+J = joined("a", "b", "j")
+# readings of two pages; the last page of a field counts
+PAGES = f"""pa AS (SELECT *, 1 page FROM a UNION ALL SELECT k, 'InvoiceTotal', {money('total + 500')}, 0.9::double, 2 FROM o WHERE k % 37 = 0 AND total IS NOT NULL),
+pb AS (SELECT *, 1 page FROM b),
+{joined('pa', 'pb', 'q', True)},
+f AS MATERIALIZED (SELECT *, CASE WHEN value_a IS NOT NULL THEN {half_up("(1 + CASE WHEN page = 2 THEN 0 ELSE (CASE WHEN document_id % 9 = 0 THEN CASE WHEN lower(trim(value_a)) = '?' THEN 1 ELSE 0 END ELSE 1 END + CASE WHEN document_id % 6 = 0 THEN 0 ELSE 1 END) END) / 3.0::double", 3)} END consistency
+  FROM (SELECT *, row_number() OVER (PARTITION BY document_id, field_name ORDER BY page DESC) rn FROM q) WHERE rn = 1)"""
+_w = ", ".join(f"max(CASE WHEN field_name = '{n}' THEN value END) {c}" for n, c in (("Subtotal", "s"), ("TotalTax", "x"), ("InvoiceTotal", "g"), ("InvoiceDate", "i"), ("DueDate", "u"), ("InvoiceId", "id")))
+CHECKS = f"""w0 AS (SELECT document_id, {_w} FROM f GROUP BY 1),
+w1 AS MATERIALIZED (SELECT *, {number('s', False)} ns, {number('x', False)} nx, {number('g', False)} ng, {date('i', VALIDATION_DATES)} di, {date('u', VALIDATION_DATES)} du,
+  (CASE WHEN document_id % 41 = 0 THEN sub + 100 ELSE sub END) / 100.0::double ls FROM w0 JOIN o ON o.k = document_id),
+w AS MATERIALIZED (SELECT *, abs({half_up('ns + nx', 2)} - ng) <= 0.02 ok, CASE WHEN ls IS NOT NULL AND ns IS NOT NULL THEN CASE WHEN abs({half_up('ls', 2)} - ns) <= 0.02 THEN 'LINE_SUM_OK' ELSE 'LINE_SUM_FAIL' END END lf,
+  di < du dok, regexp_matches(trim(id), '^[A-Z]{{2,6}}-\\d{{4}}-[A-Za-z0-9]+$') iok FROM w1),
+chk AS MATERIALIZED (
+  SELECT document_id, fn field_name, concat_ws(',', lf, CASE WHEN ok THEN 'TAX_TOTAL_OK' WHEN NOT ok THEN 'TAX_TOTAL_FAIL' END, CASE WHEN ok THEN 'ARITHMETIC_OK' END) flags, coalesce(ok, true) passed, CASE WHEN NOT ok THEN 0.50::double END cap
+  FROM w, (VALUES ('Subtotal'), ('TotalTax'), ('InvoiceTotal')) v(fn)
+  UNION ALL SELECT document_id, fn, concat_ws(',', CASE WHEN bad THEN 'DATE_UNPARSEABLE' END, CASE WHEN dok THEN 'DATE_LOGIC_OK' WHEN NOT dok THEN 'DATE_LOGIC_FAIL' END), NOT bad AND coalesce(dok, true), CASE WHEN bad THEN 0.40::double WHEN NOT dok THEN 0.45::double END
+  FROM (SELECT document_id, 'InvoiceDate' fn, di IS NULL bad, dok FROM w WHERE i IS NOT NULL UNION ALL SELECT document_id, 'DueDate', du IS NULL, dok FROM w WHERE u IS NOT NULL)
+  UNION ALL SELECT document_id, 'InvoiceId', CASE WHEN iok THEN 'ID_FORMAT_OK' ELSE 'ID_FORMAT_FAIL' END, iok, CASE WHEN NOT iok THEN 0.55::double END FROM w WHERE id IS NOT NULL)"""
+SCORED = f"""sc0 AS MATERIALIZED (SELECT f.document_id, f.field_name, f.page, value_a, value_b, agreement, value, native, consistency, coalesce(flags, 'NO_VALIDATOR_APPLIED') flags, coalesce(passed, true) passed, cap,
+  CASE WHEN NOT ok THEN 'ARITHMETIC_INCONSISTENCY' END s1, CASE WHEN NOT dok THEN 'DATE_ORDER_VIOLATION' END s2 FROM f JOIN w USING (document_id) LEFT JOIN chk ON chk.document_id = f.document_id AND chk.field_name = f.field_name),
+sc AS MATERIALIZED (SELECT *, {fused('native', 'agreement', 'consistency', 'passed', 'cap')} final, {fused('native', 'agreement', '1.0::double', 'passed', 'cap')} best FROM sc0)"""
+CHAIN = ",\n".join([ORDERS, A, B, PAGES, CHECKS, SCORED])
+_q = """CASE WHEN contains(value, chr(39)) THEN '"' || value || '"' ELSE chr(39) || value || chr(39) END"""
+TRIAGE = f"""WITH {CHAIN}, why AS (
+  SELECT document_id, field_name, 1 ord, 'Field ' || chr(39) || field_name || chr(39) || ': final confidence ' || printf('%.3f', final) || ' < threshold 0.90' why FROM sc WHERE final < 0.90
+  UNION ALL SELECT document_id, field_name, 2, 'Field ' || chr(39) || field_name || chr(39) || ': ocr!=vision disagreement (Path A=' || {_q} || ' selected; paths diverged)' FROM sc WHERE agreement = 'ocr!=vision'
+  UNION ALL SELECT DISTINCT document_id, '', 0, 'Arithmetic inconsistency: Subtotal + TotalTax != InvoiceTotal' FROM sc WHERE s1 IS NOT NULL),
+r AS (SELECT document_id, string_agg(why, '; ' ORDER BY field_name, ord) reasons FROM why GROUP BY 1),
+d AS (SELECT document_id, min(final) min_conf, count(*) n_fields, concat_ws(',', 'VALIDATION:' || max(s1), 'VALIDATION:' || max(s2)) authenticity_flags FROM sc GROUP BY 1)
+SELECT document_id, coalesce(reasons, '') reasons, authenticity_flags, min_conf, n_fields, CASE WHEN reasons IS NULL THEN 'OK' ELSE 'NEEDS_REVIEW' END status FROM d LEFT JOIN r USING (document_id)"""
+STEADY = f"""cons AS (SELECT document_id, field_name, {half_up("(1 + CASE WHEN document_id % 9 = 0 THEN 0 ELSE 1 END + CASE WHEN document_id % 6 = 0 THEN 0 ELSE 1 END) / 3.0::double", 3)} consistency FROM a)"""
 
 
 def bundle() -> str:
