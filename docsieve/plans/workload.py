@@ -6,6 +6,8 @@ say the same. Money is summed in whole cents.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +161,60 @@ def page_tokens(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").join(o.select(k.alias("l_orderkey")), "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rn = li.select(F.col("l_orderkey").alias("k"), "l_partkey", "l_quantity", F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5).alias("cents"), (F.row_number().over(order) - 1).alias("rn"))
-    at = (F.lit(190.0) + (F.col("rn") % 10) * 30)
+    at = (F.lit(195.0) + (F.col("rn") % 10) * 40)
     cell = lambda i, text, x, dy: F.struct((F.lit(1) + F.floor(F.col("rn") / 10)).cast("int").alias("page"), (F.lit(10 + i) + F.col("rn") * 3).cast("int").alias("tok_seq"), text.alias("text"), (0.90 + k % 10 / 100).alias("conf"), F.lit(float(x)).alias("x"), (at + dy).cast("double").alias("y"), (F.length(text) * 8.0).alias("w"), F.lit(16.0).alias("h"))
     body = rn.select(k.alias("document_id"), F.inline(F.array(cell(0, F.concat(F.lit("Part "), F.col("l_partkey").cast("string")), 44, 0), cell(1, F.col("l_quantity").cast("int").cast("string"), 305, 4), cell(2, F.concat(F.lit("$"), money(F.col("cents"))), 498, -3))))
     return fixed.unionByName(body)
+
+
+#: What is wrong with a generated page, by its key's remainder by 8.
+PAGE_KINDS = ["clean", "clean", "blurred", "dark", "blank", "small", "spliced", "skewed"]
+
+
+def draw_page(key: int, kind: str, side: int = 640) -> np.ndarray:
+    """A grey page of text-like strokes; the words depend on the key alone."""
+    rng = np.random.default_rng(key)
+    size = 200 if kind == "small" else side
+    page = np.full((size, size), 245, np.uint8)
+    if kind != "blank":
+        for y in range(40, size - 40, 24):
+            x = 40
+            while x < size - 80:
+                n = int(rng.integers(12, 60))
+                for c in range(x, min(x + n, size - 40), 6):
+                    page[y:y + int(rng.integers(8, 14)), c:c + 3] = 30
+                x += n + 10
+    else:
+        page[:] = 255
+    if kind == "blurred":
+        p = page.astype(float)
+        for _ in range(120):
+            p = (p + np.roll(p, 1, 0) + np.roll(p, -1, 0) + np.roll(p, 1, 1) + np.roll(p, -1, 1)) / 5
+        page = p.astype(np.uint8)
+    if kind == "dark":
+        page = (page // 16).astype(np.uint8)
+    if kind == "spliced":
+        page = np.repeat(page[:, :, None], 3, axis=2)
+        page[280:344, 280:408] = rng.integers(0, 256, (64, 128, 3))
+    if kind == "skewed":
+        from docsieve.pixels.page import rotate
+
+        page = rotate(page, -6.0)
+    return page
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A grey page a supplier, drawn where it is needed, with something wrong by its key; page 2 of every fifth is clean."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select(k.cast("bigint").alias("document_id"), F.explode(F.when(k % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("page"))
+
+    def draw(batches):
+        for b in batches:
+            out = []
+            for i, n in zip(b["document_id"], b["page"]):
+                p = draw_page(int(i) * 10 + int(n), PAGE_KINDS[int(i) % 8] if n == 1 else "clean")
+                out.append((i, n, p.shape[0], p.shape[1], p.tobytes()))
+            yield pd.DataFrame(out, columns=["document_id", "page", "height", "width", "data"])
+
+    return rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(draw, "document_id BIGINT, page INT, height INT, width INT, data BINARY")
+

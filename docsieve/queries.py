@@ -428,14 +428,16 @@ _TOK = "tok AS (SELECT user_id, event_id x, epoch_us(ts) / 3600000000.0::double
 
 
 def _tokens(spark, sf):
-    return table(spark, sf, "events").select("user_id", F.col("event_id").alias("x"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000.0).alias("y"), F.col("event_type").alias("text"))
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("tok_seq"), F.col("event_id").cast("double").alias("x"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000.0).alias("y"), F.col("event_type").alias("text"))
+    return e.withColumn("conf", (F.pmod("tok_seq", F.lit(10)) + 90) / 100).withColumn("w", F.lit(0.5)).withColumn("h", F.lit(2.0))
 
 
 @query(f"""WITH {_TOK}, g AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY user_id ORDER BY y, x) > 18 THEN 1 ELSE 0 END nw FROM tok),
 l AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY y, x ROWS UNBOUNDED PRECEDING)::bigint line_no FROM g)
-SELECT user_id, line_no, count(*) n, string_agg(text, ' ' ORDER BY x) text, {Q.half_up('min(y)', 3)} top, {Q.half_up('max(y)', 3)} bottom FROM l GROUP BY 1, 2""")
+SELECT user_id, line_no, count(*) n, string_agg(text, ' ' ORDER BY x) text, {Q.half_up('sum(x % 10 + 90) / 100.0::double / count(*)', 6)} conf, {Q.half_up('min(y)', 3)} top, {Q.half_up('max(y)', 3)} bottom, max(x) - min(x) + 0.5::double w FROM l GROUP BY 1, 2""")
 def spatial_lines(spark, sf):
-    return layout.spatial_lines(_tokens(spark, sf), ["user_id"]).select("user_id", "line_no", "n", "text", S.half_up(F.col("top"), 3).alias("top"), S.half_up(F.col("bottom"), 3).alias("bottom"))
+    out = layout.spatial_lines(_tokens(spark, sf), ["user_id"])
+    return out.select("user_id", "line_no", "n", "text", S.half_up(F.col("conf"), 6).alias("conf"), S.half_up(F.col("y"), 3).alias("top"), S.half_up(F.col("bottom"), 3).alias("bottom"), "w")
 
 
 @query(f"""WITH RECURSIVE {_TOK}, t AS (SELECT user_id, x, y, row_number() OVER (PARTITION BY user_id ORDER BY y, x) rn FROM tok),
@@ -443,7 +445,7 @@ f AS (SELECT user_id, x, rn, y AS at, 0 AS row_no FROM t WHERE rn = 1 UNION ALL
  SELECT t.user_id, t.x, t.rn, CASE WHEN abs(t.y - f.at) <= 25 THEN (f.at + t.y) / 2 ELSE t.y END, CASE WHEN abs(t.y - f.at) <= 25 THEN f.row_no ELSE f.row_no + 1 END FROM f JOIN t ON t.user_id = f.user_id AND t.rn = f.rn + 1)
 SELECT user_id, x, row_no FROM f""")
 def row_clusters(spark, sf):
-    return layout.row_clusters(_tokens(spark, sf), ["user_id"]).select("user_id", "x", F.col("row").alias("row_no"))
+    return layout.row_clusters(_tokens(spark, sf), ["user_id"]).select("user_id", F.col("tok_seq").alias("x"), "row_no")
 
 
 @query("SELECT event_id, value, CASE WHEN value IS NOT NULL THEN list_min(list_transform([10.0::double, 20.0::double, 40.0::double, 80.0::double], lambda c, i: {'d': abs(value - c), 'i': i - 1})).i::int END col_no FROM events")
@@ -457,90 +459,185 @@ _LINES = [
     (f"'Invoice Date: ' || {Q.ymd('od')} || '  Due Date: ' || {Q.ymd('od + 30', '%m/%d/%Y')}", lambda: F.concat(F.lit("Invoice Date: "), F.date_format("od", "yyyy-MM-dd"), F.lit("  Due Date: "), F.date_format(F.date_add("od", 30), "MM/dd/yyyy"))),
     ("CASE WHEN k % 4 = 0 THEN 'Bill To: ' || nm ELSE 'Customer Name - ' || nm END", lambda: F.when(F.col("k") % 4 == 0, F.concat(F.lit("Bill To: "), "name")).otherwise(F.concat(F.lit("Customer Name - "), "name"))),
     (f"'Subtotal: $' || {Q.money('sub')}", lambda: F.concat(F.lit("Subtotal: $"), W.money(F.col("sub")))),
-    (f"'Invoice Total: ' || {Q.money('total')}", lambda: F.concat(F.lit("Invoice Total: "), W.money(F.col("total")))),
+    (f"'Gross Pay. 4.' || {Q.money('sub')} || ' Department: Sales'", lambda: F.concat(F.lit("Gross Pay. 4."), W.money(F.col("sub")), F.lit(" Department: Sales"))),
+    ("'Employee: Ada King; Emp Id: EMP-2024-' || k", lambda: F.concat(F.lit("Employee: Ada King; Emp Id: EMP-2024-"), "k")),
+    (f"'Pay Period Start ' || {Q.ymd('od')} || ' Pay Period End ' || {Q.ymd('od + 14', '%d.%m.%Y')} || ' Payment Date: ' || {Q.ymd('od + 20')}", lambda: F.concat(F.lit("Pay Period Start "), F.date_format("od", "yyyy-MM-dd"), F.lit(" Pay Period End "), F.date_format(F.date_add("od", 14), "dd.MM.yyyy"), F.lit(" Payment Date: "), F.date_format(F.date_add("od", 20), "yyyy-MM-dd"))),
+    (f"'Deductions Total: ' || {Q.money('tax')} || ' Take Home Pay: $' || {Q.money('sub')}", lambda: F.concat(F.lit("Deductions Total: "), W.money(F.col("tax")), F.lit(" Take Home Pay: $"), W.money(F.col("sub")))),
+    ("'STARBUCKS COFFEE #' || k || ' Agreement No: AG-' || k", lambda: F.concat(F.lit("STARBUCKS COFFEE #"), "k", F.lit(" Agreement No: AG-"), "k")),
+    (f"'Federal Tax: ' || {Q.money('tax')} || ' Grand Total: ' || {Q.money('total')}", lambda: F.concat(F.lit("Federal Tax: "), W.money(F.col("tax")), F.lit(" Grand Total: "), W.money(F.col("total")))),
+    (f"'Tax (8%): $' || {Q.money('tax')}", lambda: F.concat(F.lit("Tax (8%): $"), W.money(F.col("tax")))),
     ("'Invoice Id: LATE-' || k", lambda: F.concat(F.lit("Invoice Id: LATE-"), "k")),
 ]
-_PAT = ", ".join(f"({i}, '{f}', '{p}')" for i, (f, p) in enumerate(layout.FIELD_PATTERNS))
+#: These look behind, which the oracle's engine can't.
+_BEHIND = ("TotalTax", "InvoiceTotal")
 
 
-@query(f"""WITH {Q.ORDERS}, cand AS ({' UNION ALL '.join(f'SELECT k document_id, {i} cand_seq, {t} AS text FROM o' for i, (t, _) in enumerate(_LINES))}),
-pat AS (SELECT * FROM (VALUES {_PAT}) v(pattern_ord, field_name, p)),
-hit AS (SELECT document_id, cand_seq, pattern_ord, field_name, trim(regexp_extract(text, p, 1)) AS value FROM cand, pat WHERE text IS NOT NULL AND regexp_matches(text, p))
-SELECT document_id, field_name, value, pattern_ord FROM (SELECT *, row_number() OVER (PARTITION BY document_id, field_name ORDER BY cand_seq, pattern_ord) rn FROM hit) WHERE rn = 1""")
-def first_match_extraction(spark, sf):
+def _pattern_sql(patterns) -> str:
+    pat = ", ".join(f"({100 * i + k}, '{f}', '(?i){p}')" for i, (f, ps) in enumerate(patterns) for k, p in enumerate(ps) if f not in _BEHIND)
+    clean = "regexp_replace(v, '[$, ]', '', 'g')"
+    money = f"CASE WHEN length({clean}) - length(replace({clean}, '.', '')) > 1 THEN replace(regexp_replace({clean}, '[.][^.]*$', ''), '.', '') || regexp_extract({clean}, '[.][^.]*$') ELSE {clean} END"
+    return f"""WITH {Q.ORDERS}, cand AS ({' UNION ALL '.join(f'SELECT k document_id, {i} cand_seq, {t} AS text FROM o' for i, (t, _) in enumerate(_LINES))}),
+pat AS (SELECT * FROM (VALUES {pat}) v(pattern_ord, field_name, p)),
+hit AS (SELECT document_id, cand_seq, pattern_ord, field_name, trim(regexp_extract(text, p, 1)) AS v FROM cand, pat WHERE text IS NOT NULL AND regexp_matches(text, p)),
+one AS (SELECT *, row_number() OVER (PARTITION BY document_id, field_name ORDER BY cand_seq, pattern_ord) rn FROM hit)
+SELECT document_id, field_name, CASE WHEN field_name IN ('Subtotal', 'GrossPay', 'TotalDeductions', 'NetPay') AND try_cast({money} AS double) IS NOT NULL THEN {money} ELSE v END AS value, pattern_ord FROM one WHERE rn = 1"""
+
+
+def _first_matches(spark, sf, patterns):
     cells = F.array(*[F.struct(F.lit(i).alias("cand_seq"), t().alias("text")) for i, (_, t) in enumerate(_LINES)])
-    cand = W.orders(spark, sf).select(F.col("k").alias("document_id"), F.inline(cells)).where("text IS NOT NULL")
-    return layout.first_matches(cand, layout.FIELD_PATTERNS)
+    cand = W.orders(spark, sf).select(F.col("k").alias("document_id"), F.lit(1).alias("page"), F.inline(cells)).where("text IS NOT NULL")
+    return layout.first_matches(cand, patterns).select("document_id", "field_name", "value", "pattern_ord")
+
+
+@query(_pattern_sql(dims.PATTERNS_A))
+def first_match_extraction(spark, sf):
+    """The first path's patterns over texts in order, but for the two that look behind (first_match_totals)."""
+    return _first_matches(spark, sf, dims.PATTERNS_A).where(~F.col("field_name").isin(*_BEHIND))
+
+
+@query(_pattern_sql(dims.PATTERNS_B))
+def first_match_extraction_b(spark, sf):
+    """The second path's patterns over the same texts."""
+    return _first_matches(spark, sf, dims.PATTERNS_B).where(~F.col("field_name").isin(*_BEHIND))
+
+
+@query(f"WITH {Q.ORDERS} SELECT k document_id, 'TotalTax' field_name, {Q.money('tax')} AS value, 1500 pattern_ord FROM o WHERE sub IS NOT NULL UNION ALL SELECT k, 'InvoiceTotal', {Q.money('tax')}, 1901 FROM o WHERE sub IS NOT NULL")
+def first_match_totals(spark, sf):
+    """The patterns that look behind: the federal tax and the subtotal are passed over, any other total (of deductions) is not."""
+    return _first_matches(spark, sf, dims.PATTERNS_A).where(F.col("field_name").isin(*_BEHIND))
+
+
+@query(f"""WITH {Q.ORDERS}, v AS (SELECT * FROM o WHERE sub IS NOT NULL)
+SELECT k document_id, f field_name, CASE f WHEN 'VendorName' THEN nm WHEN 'InvoiceId' THEN 'INV-' || year(od) || '-' || k WHEN 'InvoiceDate' THEN {Q.ymd('od')} WHEN 'DueDate' THEN {Q.ymd('od + 30', '%m/%d/%Y')}
+WHEN 'Subtotal' THEN {Q.money('sub')} WHEN 'TotalTax' THEN {Q.money('tax')} ELSE {Q.money('total')} END AS value, f IN ('InvoiceId', 'InvoiceTotal') from_line
+FROM v, (VALUES ('VendorName'), ('InvoiceId'), ('InvoiceDate'), ('DueDate'), ('Subtotal'), ('TotalTax'), ('InvoiceTotal')) x(f)""")
+def token_extraction(spark, sf):
+    """Fields of invoice pages from their tokens and, where label and value are apart, from the lines."""
+    out = layout.first_matches(layout.candidates(W.page_tokens(spark, sf)), dims.PATTERNS_A)
+    from_line = (F.length("raw_text") > F.length("value") + 11) & F.col("field_name").isin("InvoiceId", "InvoiceTotal")
+    return out.where("page = 1").select("document_id", "field_name", "value", from_line.alias("from_line"))
+
+
+_TABLE_SQL = f"""WITH {Q.ORDERS}, r AS (SELECT l_orderkey k, l_partkey, l_quantity, cast(floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) AS bigint) c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 rn FROM lineitem WHERE l_orderkey IN (SELECT k FROM o))
+SELECT k document_id, rn::int row_no, col_no, CASE col_no WHEN 0 THEN 'Part ' || l_partkey WHEN 1 THEN cast(cast(l_quantity AS int) AS varchar) ELSE '$' || {Q.money('c')} END AS value, CASE col_no WHEN 1 THEN cast(cast(l_quantity AS int) AS double) WHEN 2 THEN c / 100.0::double END value_num
+FROM r, (VALUES (0), (1), (2)) x(col_no) WHERE rn < 10"""
 
 
-@query(None)
-def first_match_with_tax(spark, sf):
-    """With the pattern that looks behind, which the oracle's engine lacks."""
-    cells = F.array(*[F.struct(F.lit(i).alias("cand_seq"), t.alias("text")) for i, t in enumerate([F.concat(F.lit("Federal Tax: "), W.money(F.col("sub"))), F.concat(F.lit("Tax (8%): $"), W.money(F.col("tax")))])])
-    cand = W.orders(spark, sf).select(F.col("k").alias("document_id"), F.inline(cells)).where("text IS NOT NULL")
-    return layout.first_matches(cand, [layout.TAX_PATTERN])
+@query(_TABLE_SQL)
+def table_extraction(spark, sf):
+    """Cells of the tables of invoice pages: head, rows by running mean, nearest columns, typed cells."""
+    return layout.tables(W.page_tokens(spark, sf)).select("document_id", "row_no", "col_no", "value", "value_num")
 
 
-def _typed(spark, sf):
-    li = table(spark, sf, "lineitem")
-    return li.select(F.col("l_orderkey").alias("document_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice") * 100 + 0.5)).alias("seq"), (F.col("l_linenumber") * 10).cast("double").alias("y"), F.col("l_quantity").alias("height"))
+def _page_fields(spark, sf):
+    return layout.first_matches(layout.candidates(W.page_tokens(spark, sf)), dims.PATTERNS_A)
 
 
-_TYPED = "tk AS (SELECT l_orderkey document_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(floor(l_extendedprice * 100 + 0.5) AS bigint) seq, (l_linenumber * 10)::double y, l_quantity height FROM lineitem)"
-_BASE = f"""fb AS (SELECT document_id, median(height) median_height, {Q.half_up('CASE WHEN sqrt(greatest(0, sum(height * height) / count(*) - (sum(height) / count(*)) * (sum(height) / count(*)))) > 1e-9 THEN sqrt(greatest(0, sum(height * height) / count(*) - (sum(height) / count(*)) * (sum(height) / count(*)))) ELSE 1.0::double END', 6)} std_height, count(*) n_tokens FROM tk GROUP BY 1)"""
+def _font_fields(spark, sf):
+    """Fields with the boxes of the tokens that hold their values."""
+    t = W.page_tokens(spark, sf)
+    named = F.when(F.col("tok_seq") == 2, "InvoiceId").when(F.col("tok_seq") == 94, "InvoiceTotal")
+    return t, t.withColumn("field_name", named).where("field_name IS NOT NULL").withColumnRenamed("text", "value")
 
 
-@query(f"WITH {_TYPED}, {_BASE} SELECT document_id, median_height, std_height, n_tokens FROM fb")
+@query(f"""WITH {Q.ORDERS}, v AS (SELECT * FROM o WHERE sub IS NOT NULL), n AS (SELECT l_orderkey k, count(*) n FROM lineitem GROUP BY 1)
+SELECT k document_id, 8.0::double median_pitch, 16.0::double median_height, 13 + 3 * n - (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = v.k AND length(cast(cast(l_quantity AS int) AS varchar)) < 3) n_tokens FROM v JOIN n USING (k)""")
 def font_baseline(spark, sf):
-    return layout.font_baseline(_typed(spark, sf))
+    """Typical pitch and height of each document's tokens."""
+    return layout.font_baseline(W.page_tokens(spark, sf)).select("document_id", "median_pitch", "median_height", "n_tokens")
 
 
-@query(f"""WITH {_TYPED}, {_BASE}, lo AS (SELECT a.document_id, a.seq, median(n.height) lh FROM tk a JOIN tk n ON a.document_id = n.document_id AND a.seq <> n.seq AND abs(a.y - n.y) < 15 GROUP BY 1, 2),
-z AS (SELECT tk.document_id, tk.seq, height, CASE WHEN height > 1.5 * median_height THEN 'TALL' WHEN height < 0.5 * median_height THEN 'SHORT' ELSE 'NONE' END whole,
-coalesce(abs(height - lh) > 10 AND abs(height - lh) > 0.35 * lh, false) odd_line FROM tk JOIN fb USING (document_id) LEFT JOIN lo ON lo.document_id = tk.document_id AND lo.seq = tk.seq)
-SELECT document_id, seq, height, whole, odd_line FROM z WHERE whole <> 'NONE' OR odd_line""")
+@query(f"""WITH {Q.ORDERS} SELECT k document_id, 'InvoiceTotal' field_name, concat_ws('; ', CASE WHEN k % 10 = 0 THEN 'Abnormal font height (38.0px vs median 16.0px)' END,
+CASE WHEN k % 14 = 0 THEN 'Inconsistent character pitch (17.0px/char vs median 8.0px/char)' END, CASE WHEN k % 10 = 0 THEN 'Local line height divergence from neighbor tokens (38.0px vs neighbor 16.0px)' END) reasons
+FROM o WHERE sub IS NOT NULL AND (k % 10 = 0 OR k % 14 = 0)""")
 def font_anomalies(spark, sf):
-    return layout.font_anomalies(_typed(spark, sf))
+    """Fields whose type was tampered with, and why."""
+    out = layout.font_anomalies(*_font_fields(spark, sf))
+    return out.select("document_id", "field_name", F.array_join("reasons", "; ").alias("reasons"))
 
 
 # ------------------------------------------------------------------- forensics
 
 _PRODUCERS = ["Acrobat Distiller", "Adobe Photoshop 25", "ERP Export", "Canva", "Midjourney v6", "PyPrint", "iLovePDF", "Stable Diffusion XL", "Nitro Pro 13", "LibreOffice", "Scanner", "SmallPDF"]
 _META_SQL = f"""ship AS (SELECT l_orderkey k, min(l_shipdate) sd FROM lineitem GROUP BY 1),
-meta AS (SELECT o_orderkey document_id, list_element({_PRODUCERS}, (o_orderkey % 12 + 1)::int) producer, o_orderdate od, sd FROM orders LEFT JOIN ship ON k = o_orderkey)"""
+meta AS (SELECT o_orderkey document_id, list_element({_PRODUCERS}, (o_orderkey % 12 + 1)::int) producer, CASE WHEN o_orderkey % 15 = 0 THEN 'Monthly Report Writer' END creator, o_orderdate od, sd,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'png' ELSE 'pdf' END AS format, CASE WHEN o_orderkey % 101 = 0 THEN 'broken xref' END parse_error, o_orderkey % 9 = 0 photo, CASE WHEN o_orderkey % 18 = 0 THEN 'Acme Cam' END make, CASE WHEN o_orderkey % 27 = 0 THEN 'Pika 1.0' END software
+  FROM orders LEFT JOIN ship ON k = o_orderkey)"""
 
 
-def _kw(words: list[str]) -> str:
-    return "(CASE " + " ".join(f"WHEN contains(lower(producer), '{w}') THEN '{w}'" for w in words) + " END)"
+def _kw(words: list[str], c: str = "producer") -> str:
+    return "(CASE " + " ".join(f"WHEN contains(lower({c}), '{w}') THEN '{w}'" for w in words) + " END)"
 
 
 def _meta(spark, sf):
     ship = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("sd"))
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate").join(ship, "o_orderkey", "left")
     stamp = lambda c: F.concat(F.lit("D:"), F.date_format(c, "yyyyMMddHHmmss"), F.lit("+00'00'"))
-    names = F.array(*[F.lit(x) for x in _PRODUCERS])
-    return o.select(F.col("o_orderkey").alias("document_id"), F.lit(None).cast("string").alias("creator"), F.element_at(names, (F.col("o_orderkey") % 12 + 1).cast("int")).alias("producer"), stamp("o_orderdate").alias("creation_date"), stamp("sd").alias("mod_date"))
+    names, k = F.array(*[F.lit(x) for x in _PRODUCERS]), F.col("o_orderkey")
+    m = o.select(
+        k.alias("document_id"), F.when(k % 15 == 0, "Monthly Report Writer").alias("creator"), F.element_at(names, (k % 12 + 1).cast("int")).alias("producer"), stamp("o_orderdate").alias("creation_date"), stamp("sd").alias("mod_date"),
+        F.when(k % 9 == 0, "png").otherwise("pdf").alias("format"), F.when(k % 101 == 0, "broken xref").alias("parse_error"), F.when(k % 9 == 0, "camera_photo").alias("claimed_capture"),
+        F.map_filter(F.create_map(F.lit("Make"), F.when(k % 18 == 0, "Acme Cam"), F.lit("Software"), F.when(k % 27 == 0, "Pika 1.0")), lambda a, v: v.isNotNull()).alias("exif"),
+    )
+    return m.withColumn("metadata", F.map_filter(F.create_map(F.lit("creator"), F.col("creator"), F.lit("producer"), F.col("producer")), lambda a, v: v.isNotNull()))
 
 
-_FLAG_SQL = f"""fl AS (SELECT document_id, {_kw(dims.SUSPICIOUS_PRODUCERS)} tool, {_kw(dims.AI_KEYWORDS)} ai_keyword, CASE WHEN sd IS NOT NULL THEN date_diff('second', od, sd) END AS seconds FROM meta),
-fg AS (SELECT *, tool IS NOT NULL OR coalesce(seconds > 7200, false) ed FROM fl)"""
+_PDF = "format = 'pdf' AND parse_error IS NULL"
+_FLAG_SQL = f"""fl AS (SELECT document_id, CASE WHEN {_PDF} THEN {_kw(dims.SUSPICIOUS_PRODUCERS, "concat_ws(' ', creator, producer)")} END tool,
+  coalesce({_kw(dims.AI_KEYWORDS)}, {_kw(dims.AI_KEYWORDS, "software")}) ai_keyword, CASE WHEN {_PDF} AND sd IS NOT NULL THEN date_diff('second', od, sd) END AS seconds,
+  {_PDF} AND creator IS NOT NULL AND (contains(lower(producer), 'acrobat') OR contains(lower(producer), 'editor')) mismatch, format = 'pdf' AND parse_error IS NOT NULL broken, photo AND make IS NULL no_camera FROM meta),
+fg AS (SELECT *, tool IS NOT NULL OR coalesce(seconds > 7200, false) OR mismatch OR broken ed FROM fl)"""
 
 
 @query(f"WITH {_META_SQL}, {_FLAG_SQL} SELECT document_id, tool, ai_keyword FROM fl WHERE tool IS NOT NULL OR ai_keyword IS NOT NULL")
 def keyword_forensics(spark, sf):
-    return forensics.metadata_flags(_meta(spark, sf)).select("document_id", "tool", "ai_keyword").where("tool IS NOT NULL OR ai_keyword IS NOT NULL")
+    m = _meta(spark, sf)
+    both = forensics.metadata_flags(m).select("document_id", "tool").join(forensics.generation_flags(m).select("document_id", "ai_keyword"), "document_id")
+    return both.where("tool IS NOT NULL OR ai_keyword IS NOT NULL")
 
 
-@query(f"WITH {_META_SQL}, {_FLAG_SQL} SELECT document_id, seconds, coalesce(seconds > 7200, false) changed_late FROM fl")
+@query(f"WITH {_META_SQL}, {_FLAG_SQL} SELECT document_id, seconds, mismatch, coalesce(seconds > 7200, false) changed_late, ed suspicious FROM fg")
 def metadata_timeline(spark, sf):
-    return forensics.metadata_flags(_meta(spark, sf)).select("document_id", "seconds", F.coalesce(F.col("seconds") > 7200, F.lit(False)).alias("changed_late"))
+    m = forensics.metadata_flags(_meta(spark, sf))
+    return m.select("document_id", "seconds", "mismatch", F.coalesce(F.col("seconds") > 7200, F.lit(False)).alias("changed_late"), (F.size("flags") > 0).alias("suspicious"))
+
+
+@query(f"WITH {_META_SQL}, {_FLAG_SQL} SELECT document_id, ai_keyword, no_camera missing_camera, CASE WHEN ai_keyword IS NOT NULL THEN 0.95::double WHEN no_camera THEN 0.80::double ELSE 0.0::double END confidence FROM fg")
+def generation_check(spark, sf):
+    return forensics.generation_flags(_meta(spark, sf)).select("document_id", "ai_keyword", "missing_camera", "confidence")
+
+
+def _registry(spark, sf):
+    """Uploads as files of one registry: an exact hash and page hashes as numbers."""
+    r = table(spark, sf, "dedup_registry").where("reg_id IS NOT NULL").groupBy("document_id").agg(F.min_by(F.struct("reg_id", "sha256_hash", "page_phashes"), "reg_id").alias("r"))
+    hexa = F.filter(F.transform(F.coalesce("r.page_phashes", F.array().cast("array<string>")), lambda h: F.lower(h)), lambda h: h.rlike("^[0-9a-f]{16}$"))
+    num = F.transform(hexa, lambda h: F.shiftleft(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), 32).bitwiseOR(F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint")))
+    return r.select("document_id", F.col("r.reg_id").alias("seq"), F.col("r.sha256_hash").alias("sha"), num.alias("phashes"))
+
+
+@query("""WITH r AS (SELECT document_id, min(reg_id) seq, arg_min(sha256_hash, reg_id) sha, arg_min(page_phashes, reg_id) ph FROM dedup_registry WHERE document_id IS NOT NULL GROUP BY 1),
+p AS MATERIALIZED (SELECT DISTINCT document_id, seq, ('0x' || lower(h))::ubigint h FROM (SELECT document_id, seq, unnest(ph) h FROM r) WHERE regexp_matches(lower(h), '^[0-9a-f]{16}$')),
+e AS (SELECT DISTINCT a.document_id FROM r a JOIN r b ON a.sha = b.sha AND b.seq < a.seq),
+n AS (SELECT DISTINCT a.document_id FROM p a JOIN p b ON b.seq < a.seq AND bit_count(xor(a.h, b.h)) <= 8)
+SELECT document_id, 'DUPLICATE_EXACT_MATCH' flag FROM e UNION ALL SELECT document_id, 'DUPLICATE_NEAR_MATCH' FROM n WHERE document_id NOT IN (SELECT document_id FROM e)""")
+def duplicate_check(spark, sf):
+    """Files that repeat an earlier registered one, by their bytes or else by a page."""
+    return forensics.duplicate_flags(_registry(spark, sf).where("document_id IS NOT NULL")).select("document_id", F.explode("flags").alias("flag"))
 
 
-@query(f"""WITH {_META_SQL}, {_FLAG_SQL}, sc AS (SELECT document_id, concat_ws(',', CASE WHEN ed THEN 'METADATA_SUSPICIOUS_EDIT_HISTORY' END, CASE WHEN ai_keyword IS NOT NULL THEN 'AI_GENERATION_SUSPECTED' END) flags,
-0.0::double + CASE WHEN ed THEN 0.20::double ELSE 0 END + CASE WHEN ai_keyword IS NOT NULL THEN 0.35::double ELSE 0 END p FROM fg)
+def _font_flags(spark, sf):
+    return layout.font_anomalies(*_font_fields(spark, sf)).select("document_id", F.array(F.lit("FONT_INCONSISTENCY")).alias("flags")).distinct()
+
+
+@query(f"""WITH {Q.ORDERS}, {_META_SQL}, {_FLAG_SQL}, ft AS (SELECT k document_id, sub IS NOT NULL AND (k % 10 = 0 OR k % 14 = 0) odd FROM o), sc AS (SELECT document_id,
+concat_ws(',', CASE WHEN ed THEN 'METADATA_SUSPICIOUS_EDIT_HISTORY' END, CASE WHEN odd THEN 'FONT_INCONSISTENCY' END, CASE WHEN ai_keyword IS NOT NULL THEN 'AI_GENERATION_SUSPECTED' END, CASE WHEN no_camera THEN 'METADATA_INCONSISTENT_CAPTURE_ORIGIN' END) flags,
+0.0::double + CASE WHEN ed THEN 0.20::double ELSE 0 END + CASE WHEN odd THEN 0.25::double ELSE 0 END + CASE WHEN ai_keyword IS NOT NULL THEN 0.35::double ELSE 0 END + CASE WHEN no_camera THEN 0.15::double ELSE 0 END p FROM fg LEFT JOIN ft USING (document_id))
 SELECT document_id, {Q.half_up('greatest(0.0::double, least(1.0::double, 1 - p))', 3)} score, flags, CASE WHEN flags <> '' THEN 'NEEDS_REVIEW' ELSE 'OK' END status FROM sc""")
 def integrity_score(spark, sf):
-    return forensics.integrity(forensics.metadata_flags(_meta(spark, sf)))
+    """All documents through the detectors of metadata, type and generation: flags in order, score, status."""
+    m = _meta(spark, sf)
+    out = forensics.integrity(m.select("document_id"), [forensics.metadata_flags(m), _font_flags(spark, sf), forensics.generation_flags(m)])
+    return out.select("document_id", "score", F.array_join("flags", ",").alias("flags"), "status")
 
 
 # ------------------------------------------------------- sources, security, JSON
@@ -586,21 +683,37 @@ def format_sniff(spark, sf):
 
 # ---------------------------------------------------------------------- pixels
 
-def _pages(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+_KIND_SQL = "list_element(['" + "', '".join(W.PAGE_KINDS) + "'], (s_suppkey % 8 + 1)::int)"
 
 
-@query(None)
+@query(f"SELECT s_suppkey::bigint document_id, CASE {_KIND_SQL} WHEN 'blurred' THEN 'Blur check' WHEN 'dark' THEN 'Contrast check' WHEN 'blank' THEN 'Blur check' WHEN 'small' THEN 'Resolution check' END first_failure FROM supplier WHERE {_KIND_SQL} IN ('blurred', 'dark', 'blank', 'small')")
 def page_quality(spark, sf):
-    m = _pages(spark, sf).withColumn("m", page.quality_metrics("data"))
-    return m.select("doc_id", F.round("m.sharpness", 3).alias("sharpness"), F.round("m.brightness", 3).alias("brightness"), F.array_join(page.quality_reasons(F.col("m"), 64), ";").alias("reasons"))
+    """Documents with a page that fails the quality gate, by the first check that it fails."""
+    out = page.page_gate(W.pages(spark, sf))
+    return out.select("document_id", F.regexp_extract("reason", r"failure: (\w+ check)", 1).alias("first_failure"))
 
 
-@query(None)
-def page_hashes(spark, sf):
-    return _pages(spark, sf).select("doc_id", page.page_phash("data").alias("phash"))
+@query(f"SELECT s_suppkey::bigint document_id, true inside FROM supplier WHERE {_KIND_SQL} = 'spliced'")
+def ela_regions(spark, sf):
+    """Pages with a spliced region: the strongest region lies where it was put in."""
+    p = W.pages(spark, sf).where("page = 1").select("document_id", F.inline(page.page_ela("data", "height", "width")))
+    best = p.groupBy("document_id").agg(F.max_by(F.struct("x", "y", "w", "h"), "score").alias("r"))
+    return best.select("document_id", ((F.col("r.x") >= 256) & (F.col("r.y") >= 256) & (F.col("r.x") + F.col("r.w") <= 432) & (F.col("r.y") + F.col("r.h") <= 368)).alias("inside"))
 
 
-@query(None)
-def ela_regions(spark, sf):
-    return _pages(spark, sf).select("doc_id", F.inline(page.page_ela("data")))
+@query(f"SELECT s_suppkey::bigint document_id, true near_itself FROM supplier WHERE {_KIND_SQL} NOT IN ('blank')")
+def page_hashes(spark, sf):
+    """Perceptual hashes of pages and of their noisy, shifted copies: within the radius of each other."""
+    p = W.pages(spark, sf).where("page = 1")
+    again = page.page_perturbed("data", "height", "width", "document_id", F.lit(0))
+    both = p.withColumn("again", again).select("document_id", page.page_phash("data", "height", "width").alias("h1"), page.page_phash("again", "height", "width").alias("h2"))
+    return both.where(F.pmod("document_id", F.lit(8)) != 4).select("document_id", (S.hamming(F.col("h1"), F.col("h2")) <= dims.HAMMING_NEAR).alias("near_itself"))  # a blank page has no frequencies
+
+
+@query(f"SELECT s_suppkey::bigint document_id, true deskew_applied, true straight FROM supplier WHERE {_KIND_SQL} = 'skewed'")
+def page_deskew(spark, sf):
+    """Documents with a page that was put straight, and whether it is straight then."""
+    once = W.pages(spark, sf).withColumn("d", page.page_deskewed("data", "height", "width"))
+    twice = once.select("document_id", "page", F.col("d.angle").alias("deskew_angle"), page.page_deskewed("d.data", "height", "width")["angle"].alias("rest"))
+    left = twice.groupBy("document_id").agg(F.max(F.abs("rest")).alias("rest"))
+    return page.deskew_summary(twice).join(left, "document_id").where("deskew_applied").select("document_id", "deskew_applied", (F.col("rest") < 0.6).alias("straight"))
