@@ -9,6 +9,8 @@ from docsieve import dims
 from docsieve.functions import scalar as S
 from docsieve.operators import forensics, layout, trust
 from docsieve.pixels import page
+from docsieve.sinks import records as sinks
+from docsieve.sources import files, records
 from docsieve.plans import sql as Q
 from docsieve.plans import workload as W
 from docsieve.runtime import table
@@ -642,16 +644,123 @@ def integrity_score(spark, sf):
 
 # ------------------------------------------------------- sources, security, JSON
 
-@query("""SELECT event_id, cast(json_extract(props, '$.k') AS int)::double AS value, CASE WHEN event_id % 3 = 0 THEN 0.90::double ELSE 0.50::double END confidence FROM events WHERE props IS NOT NULL""")
+@query("""WITH e AS (SELECT event_id, cast(json_extract(props, '$.k') AS int) n FROM events WHERE props IS NOT NULL)
+SELECT event_id, 'Total' field_name, CASE WHEN event_id % 4 = 3 THEN NULL ELSE cast(n AS varchar) END AS value, CASE WHEN event_id % 4 = 1 THEN 0.5::double ELSE 0.90::double END confidence, CASE WHEN event_id % 4 = 1 THEN '1.0,2.0,3.0,4.0' ELSE '0.0,0.0,100.0,30.0' END bbox,
+CASE event_id % 4 WHEN 1 THEN 'Total due' WHEN 3 THEN 'None' ELSE cast(n AS varchar) END raw_text FROM e
+UNION ALL SELECT event_id, 'VendorName', 'Acme "A" Ltd', 0.90::double, '0.0,0.0,100.0,30.0', 'Acme "A" Ltd' FROM e""")
 def vision_json_parse(spark, sf):
-    """A model's answer in code fences; an absent confidence is 0.90."""
+    """Answers of a model, in code fences or bare, values alone or in objects; what is absent has its default."""
     e = table(spark, sf, "events").where("props IS NOT NULL")
-    n = F.regexp_extract("props", r"(\d+)", 1)
-    body = F.when(F.col("event_id") % 3 == 0, F.format_string('{"Total": {"value": %s}}', n)).otherwise(F.format_string('{"Total": {"value": %s, "confidence": 0.5}}', n))
-    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
-    clean = F.trim(F.regexp_replace(fenced, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    parsed = F.from_json(clean, "MAP<STRING, STRUCT<value: DOUBLE, confidence: DOUBLE>>")["Total"]
-    return e.select("event_id", parsed["value"].alias("value"), F.coalesce(parsed["confidence"], F.lit(0.90)).alias("confidence"))
+    n, k = F.regexp_extract("props", r"(\d+)", 1), F.col("event_id") % 4
+    total = F.when(k == 1, F.format_string('{"value": %s, "confidence": 0.5, "bbox": [1, 2, 3, 4], "raw_text": "Total due"}', n)).when(k == 2, n).when(k == 3, '{"value": null}').otherwise(F.format_string('{"value": "%s"}', n))
+    body = F.format_string('{"Total": %s, "VendorName": "Acme \\"A\\" Ltd"}', total)
+    answer = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("  ```\n"), body, F.lit("```  "))).otherwise(body)
+    f = records.vision_fields(e.select(F.col("event_id").alias("document_id"), F.lit(1).alias("page"), answer.alias("response")))
+    return f.select(F.col("document_id").alias("event_id"), "field_name", "value", F.col("conf").alias("confidence"), F.array_join(F.transform("bbox", lambda x: x.cast("string")), ",").alias("bbox"), "raw_text")
+
+
+#: What the files of document_ingestion are, by the document's id.
+_FILE_KINDS = ["text", "empty", "docx", "zip", "traversal", "pdf", "bomb"]
+
+
+def _as_files(spark, sf):
+    """Every text as a file of some kind, good and bad."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pandas as pd
+
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x{20}-\x{D7FF}\n]", " ")
+    rows = table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", F.concat(F.lit("Document "), "doc_id", F.lit("\n"), clean).alias("text"))
+
+    def archive(name: str, body: str, extra: str | None) -> bytes:
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", compresslevel=1) as z:
+            for n, x in [(name, body)] + ([("media/pad.bin" if extra else "../evil", extra)] if extra is not None else []):
+                z.writestr(zipfile.ZipInfo(n, (2024, 1, 1, 0, 0, 0)), x, zipfile.ZIP_DEFLATED)  # the same bytes each time
+        return buf.getvalue()
+
+    def make(batches):
+        for b in batches:
+            out = []
+            for i, text in zip(b["doc_id"], b["text"]):
+                kind = _FILE_KINDS[i % len(_FILE_KINDS)]
+                body = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>' + "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in text.split("\n")) + "</w:body></w:document>"
+                c = {"text": lambda: text.encode(), "empty": lambda: b"", "pdf": lambda: b"%PDF-1.7 " + text.encode(), "docx": lambda: archive("word/document.xml", body, None),
+                     "zip": lambda: archive("notes.txt", text, None), "traversal": lambda: archive("word/document.xml", body, ""), "bomb": lambda: archive("word/document.xml", "<x/>", "0" * 1_000_000)}[kind]()
+                out.append((str(i), len(c), c))
+            yield pd.DataFrame(out, columns=["path", "length", "content"])
+
+    return rows.mapInPandas(make, files.FILES)
+
+
+@query(f"""WITH d AS (SELECT doc_id::varchar AS path, list_element({_FILE_KINDS}, (doc_id % {len(_FILE_KINDS)} + 1)::int) k FROM documents WHERE doc_id IS NOT NULL)
+SELECT path, CASE WHEN k IN ('docx', 'zip', 'traversal', 'bomb') THEN 'docx' WHEN k = 'pdf' THEN 'pdf' WHEN k = 'empty' THEN 'UNKNOWN' ELSE 'UNKNOWN' END AS format, CASE WHEN k = 'docx' THEN 'OK' ELSE 'UNPROCESSABLE' END status,
+left(CASE k WHEN 'text' THEN '{files.REFUSED}Unsupported or unrecognized' WHEN 'empty' THEN '{files.REFUSED}File is empty (0 bytes).' WHEN 'zip' THEN '{files.REFUSED}Archive is a ZIP file'
+WHEN 'traversal' THEN '{files.REFUSED}Malicious zip path traversal' WHEN 'bomb' THEN '{files.REFUSED}Zip bomb detected: c' WHEN 'pdf' THEN '{files.UNREADABLE}no PDF reader is configured' END, 50) why FROM d""")
+def document_ingestion(spark, sf):
+    """Files of all kinds through guard, routing, reading and the quality gate (here for pages of one line too)."""
+    docs, _ = files.ingest(_as_files(spark, sf), thresholds={"edges": 0.0, "sharpness": 0.0})
+    return docs.select("path", "format", "status", F.substring("reason", 1, 50).alias("why"))
+
+
+@query("SELECT DISTINCT document_id, k AS field_name, v AS value FROM (SELECT document_id, unnest(map_keys(fields)) k, unnest(map_values(fields)) v FROM doc_labels WHERE document_id IS NOT NULL)")
+def labels_long(spark, sf):
+    """All labels, one row a field."""
+    return records.labels_long(table(spark, sf, "doc_labels"))
+
+
+_LABEL_SQL = f"""WITH e AS (SELECT document_id, field_name, arg_min(value, claim_seq) AS value, arg_min(confidence, claim_seq) conf FROM claims WHERE trim(value) <> '' AND document_id IN (SELECT document_id FROM doc_labels) GROUP BY 1, 2),
+t AS (SELECT document_id, k field_name, min(v) truth FROM (SELECT document_id, unnest(map_keys(fields)) k, unnest(map_values(fields)) v FROM doc_labels) WHERE v IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT coalesce(e.document_id, t.document_id) document_id, coalesce(e.field_name, t.field_name) field_name, conf, CASE WHEN value IS NULL THEN 'FN' WHEN truth IS NULL THEN 'FP' WHEN {Q.matches('value', 'truth', 'e.field_name')} THEN 'TP' ELSE 'FP' END outcome
+ FROM e FULL JOIN t ON e.document_id = t.document_id AND e.field_name = t.field_name)"""
+
+
+def _label_outcomes(spark, sf):
+    labels = records.labels_long(table(spark, sf, "doc_labels")).where("value IS NOT NULL").groupBy("document_id", "field_name").agg(F.min("value").alias("value"))
+    claims = table(spark, sf, "claims").where("trim(value) <> ''").join(labels.select("document_id").distinct(), "document_id", "left_semi")
+    first = claims.groupBy("document_id", "field_name").agg(F.min_by(F.struct("value", F.col("confidence").alias("conf")), "claim_seq").alias("r")).select("document_id", "field_name", "r.*")
+    return trust.outcomes(first, labels)
+
+
+@query(f"{_LABEL_SQL} SELECT document_id, field_name, outcome FROM o")
+def label_outcomes(spark, sf):
+    """Claims of the labelled documents against their labels."""
+    return _label_outcomes(spark, sf).select("document_id", "field_name", "outcome")
+
+
+@query(f"""{_LABEL_SQL}, g AS (SELECT field_name, count_if(outcome = 'TP')::bigint tp, count_if(outcome = 'FP')::bigint fp, count_if(outcome = 'FN')::bigint fn FROM o GROUP BY 1) SELECT field_name, tp, fp, fn, tp + fn n_gt, tp + fp n_ext FROM g""")
+def label_evaluation(spark, sf):
+    """The same by field."""
+    return trust.metrics(_label_outcomes(spark, sf), ["field_name"]).select("field_name", "tp", "fp", "fn", "n_gt", "n_ext")
+
+
+@query()
+def evaluation_summary(spark, sf):
+    """The evaluation of all orders as one JSON: overall, by field, calibration."""
+    return sinks.evaluation_json(_outcomes(spark, sf))
+
+
+@query(f"WITH {Q.CHAIN} SELECT document_id, count(*) n_fields, count_if(agreement = 'ocr!=vision')::bigint n_disagree FROM sc GROUP BY 1")
+def result_documents(spark, sf):
+    """Every document's record as JSON, read again."""
+    scored = _scored(spark, sf)
+    j = sinks.result_json(scored, trust.escalate(scored))
+    m = F.from_json(F.get_json_object("json", "$.fields"), "MAP<STRING, STRUCT<extraction_agreement: STRING>>")
+    return j.select("document_id", F.size(m).cast("bigint").alias("n_fields"), F.size(F.filter(F.map_values(m), lambda v: v.extraction_agreement == "ocr!=vision")).cast("bigint").alias("n_disagree"))
+
+
+@query("SELECT document_id, field_name, status FROM (SELECT s_suppkey::bigint document_id, unnest(['A', 'B', 'C']) field_name, unnest(['crop://crop_' || s_suppkey || '_p1_40_40_', 'crop://crop_' || s_suppkey || '_p1_-5_9000_', NULL]) status FROM supplier)")
+def field_crops(spark, sf):
+    """Encrypted crops of fields of every page: inside, beyond the edge, without a place; the reference without its digest."""
+    from docsieve.plugins import FixedKey
+
+    p = W.pages(spark, sf).where("page = 1")
+    box = lambda n, *v: F.struct(F.lit(n).alias("field_name"), *[F.lit(x).cast("double").alias(c) for c, x in zip("xywh", v)])
+    f = p.select("document_id", "page", F.inline(F.array(box("A", 40.9, 40.2, 60, 12), box("B", -5.5, 9000, 3, 3), box("C", None, None, None, None))))
+    out = sinks.crops(f, p, FixedKey(b"0123456789abcdef0123456789abcdef")).where("secret IS NOT NULL OR crop_ref IS NULL")
+    return out.select("document_id", "field_name", F.regexp_replace("crop_ref", "[0-9a-f]{12}$", "").alias("status"))
 
 
 @query("SELECT c_custkey, k AS key, CASE WHEN k IN ('customer_name', 'account_number') THEN '[REDACTED:sha256=' || substr(sha256(v), 1, 12) || ']' ELSE v END AS value FROM (SELECT c_custkey, unnest(['customer_name', 'status', 'account_number']) k, unnest([c_name, c_mktsegment, c_custkey::varchar]) v FROM customer)")
