@@ -37,6 +37,7 @@ def test_redaction_and_formats(spark):
 
 
 def test_values_match(spark):
-    rows = [("$972.00", "972.01", True), ("03/15/2024", "2024-03-15", True), ("STARBUCKS COFFEE #12", "Starbucks Coffee", True), ("abc", "abcd", False), (None, None, True), ("x", None, False)]
-    df = spark.createDataFrame(rows, "e STRING, g STRING, w BOOLEAN")
-    assert all(r.x == r.w for r in df.withColumn("x", S.values_match(F.col("e"), F.col("g"))).collect())
+    from docsieve.queries import MATCH_CASES
+
+    df = spark.createDataFrame(MATCH_CASES, "e STRING, g STRING, f STRING, w BOOLEAN")
+    assert [r.x for r in df.withColumn("x", S.values_match(F.col("e"), F.col("g"), F.col("f"))).collect()] == [c[3] for c in MATCH_CASES]
