@@ -24,6 +24,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -158,12 +159,35 @@ def abbreviates(short: str, word: str, edits: int = 2) -> bool:
     return len(short) >= 5 and _distance(short, word, edits) <= edits
 
 
+@lru_cache(maxsize=200_000)
+def _letter_set(word: str) -> int:
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 def _distance(a: str, b: str, bound: int) -> int:
-    if abs(len(a) - len(b)) > bound:
+    """Edits between two words, neighbours swapped count one; bound + 1 if there are more than the bound.
+
+    An edit changes two letters of the set of letters at most, which settles most words.
+    """
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > bound or (_letter_set(a) ^ _letter_set(b)).bit_count() > 2 * bound:
         return bound + 1
-    t = Trie()
-    t.add(b)
-    return min([d for d, _ in t.near(a, bound)], default=bound + 1)
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            d = row[j - 1] if x == y else 1 + min(row[j - 1], row[j], new[j - 1])
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] + 1 < d:
+                d = before[j - 2] + 1
+            new.append(d)
+        if min(new) > bound:
+            return bound + 1
+        before, row = row, new
+    return min(row[-1], bound + 1)
 
 
 @dataclass(frozen=True)
