@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_leaving: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,8 +28,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared scratch folder."""
-    return f"{scratch_dir(spark)}/docsieve/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared scratch folder, removed when the application ends."""
+    base = f"{scratch_dir(spark)}/docsieve/{spark.sparkContext.applicationId}"
+    if base not in _leaving:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _leaving.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -43,13 +51,6 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path (any Hadoop file system)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
