@@ -257,8 +257,8 @@ def train(documents: DataFrame, bound: int = TRAIN_DOCS) -> WordModel:
     return fit_words([(r.declared, r.text) for r in sorted(rows)])
 
 
-def label_segments(documents: DataFrame, model: WordModel) -> DataFrame:
-    """Each stretch of each document with its language (SEGMENT_SCHEMA).
+def label_segments(documents: DataFrame, model: WordModel, use_label: bool = True) -> DataFrame:
+    """Each stretch of each document with its language (SEGMENT_SCHEMA). use_label: whether the declared language is evidence.
 
     ``main`` marks the language with most words. NULL, empty and wordless texts
     have no stretch. Texts are taken whole; very long ones cost in proportion.
@@ -279,7 +279,7 @@ def label_segments(documents: DataFrame, model: WordModel) -> DataFrame:
             out = []
             for doc_id, text, declared, counts in zip(b["doc_id"], b["text"], b["declared"], b["counts"]):
                 lp = log_prior(np.stack(counts), declared) if counts is not None else np.zeros(len(LANGS))
-                if declared in LANGS:
+                if declared in LANGS and use_label:
                     d = np.full(len(LANGS), math.log((1 - DECLARED) / (len(LANGS) - 1)))
                     d[LANGS.index(declared)] = math.log(DECLARED)
                     lp = lp + d
@@ -297,6 +297,18 @@ def label_segments(documents: DataFrame, model: WordModel) -> DataFrame:
     return rows.mapInPandas(scan, SEGMENT_SCHEMA)
 
 
+def calibration(documents: DataFrame, model: WordModel) -> DataFrame:
+    """(bucket, n, mean_confidence, agree): confidence of each document's main stretch against its label, the label not being evidence.
+
+    A bucket is a tenth of confidence. Labels are wrong at times, so agreement
+    can't reach 1; documents without a label, or with one of no known language, are left out.
+    """
+    s = label_segments(documents, model, use_label=False).where(F.col("main") & F.col("declared").isin(LANGS))
+    one = s.groupBy("doc_id").agg(F.max_by(F.struct("confidence", "lang_code", "declared"), F.struct("n_words", "segment")).alias("r")).select("r.*")
+    g = one.groupBy(F.least(F.floor(F.col("confidence") * 10), F.lit(9)).alias("bucket"))
+    return g.agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.avg((F.col("lang_code") == F.col("declared")).cast("int")), 6).alias("agree"))
+
+
 def corrected_labels(documents: DataFrame, model: WordModel) -> DataFrame:
     """(doc_id, lang_code) of the documents whose label is missing, wrong or too narrow.
 

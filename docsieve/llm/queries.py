@@ -75,6 +75,12 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_segments(docs, language.train(docs)).withColumn("confidence", F.round("confidence", 6))
 
 
+def p8_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the confidence can be trusted: against the labels, which are no evidence here."""
+    docs = table(spark, sf_dir, "documents")
+    return language.calibration(docs, language.train(docs))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of every target filled with whole documents."""
     rows = table(spark, sf_dir, "pack_targets").select("target_id", "capacity_tokens").distinct().collect()  # 3 rows, fixed
@@ -152,5 +158,5 @@ _P5M = f"""WITH {_ITEMS}, k AS (SELECT queue_id, item_id, {', '.join(_r(c, n) fo
 m AS (SELECT queue_id, item_id, list_median(list_filter([a, b, c, d], lambda x: x IS NOT NULL)) m, list_avg(list_filter([a, b, c, d], lambda x: x IS NOT NULL)) n FROM k)
 SELECT queue_id, item_id, row_number() OVER (PARTITION BY queue_id ORDER BY round(m, 9) NULLS LAST, round(n, 9) NULLS LAST, item_id) "position", round(m, 6) median_rank, round(n, 6) mean_rank FROM m"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_linked, p3_found, p4_found, p5_found, p5_median_rank, p6_packed, p7_found, p7_spans, p7_cleaned, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_linked, p3_found, p4_found, p5_found, p5_median_rank, p6_packed, p7_found, p7_spans, p7_cleaned, p8_found, p8_segments, p8_calibration)}
 SQL: dict[str, str] = {"p4_found": _P4, "p5_found": _P5, "p5_median_rank": _P5M}
