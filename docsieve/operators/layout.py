@@ -1,8 +1,8 @@
 """Token-level operators: lines, rows, columns, headers, tables, field patterns, typography.
 
 tokens: document_id, page, tok_seq, text, conf, x, y, w, h. A page's tokens are
-few by nature, so folds over one page are one Arrow group; everything across
-pages is a plain shuffle on (document_id, page).
+few by nature, so folds over one page take them as arrays in Arrow batches of
+many pages; everything across pages is a plain shuffle on (document_id, page).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve import dims
 from docsieve.functions.scalar import half_up, money_text
@@ -40,21 +41,23 @@ def row_clusters(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
     The mean runs on, so this is a fold in (y, tok_seq) order, in linear time a group.
     """
-    names = [*keys, "tok_seq", "y"]
-    schema = ", ".join(f"{c} {t}" for c, t in tokens.select(*names).dtypes) + ", row_no INT"
+    near = tokens.where("y IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "tok_seq"))).alias("t"))
+    return near.select(*keys, F.inline(F.arrays_zip(F.col("t.tok_seq").alias("tok_seq"), F.col("t.y").alias("y"), _row_numbers("t.y").alias("row_no"))))
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["y", "tok_seq"], kind="stable")
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _row_numbers(ys: pd.Series) -> pd.Series:
+    def fold(page) -> list[int]:
         rows, row, at = [], -1, None
-        for y in g["y"]:
+        for y in page:
             if at is not None and abs(y - at) <= ROW_GAP:
                 at = (at + y) / 2
             else:
                 row, at = row + 1, y
             rows.append(row)
-        return g.assign(row_no=rows)
+        return rows
 
-    return tokens.where("y IS NOT NULL").select(*names).groupBy(*keys).applyInPandas(fold, schema)
+    return ys.map(fold)
 
 
 def nearest_column(tokens: DataFrame, columns: list[float], x: str) -> DataFrame:
@@ -117,47 +120,56 @@ def tables(tokens: DataFrame) -> DataFrame:
     plain figures get a value_num. A page without head or body has no rows; a
     row without text is left out and not counted.
     """
-    schema = "document_id {0}, page INT, row_no INT, col_no INT, value STRING, value_num DOUBLE, conf DOUBLE".format(dict(tokens.dtypes)["document_id"])
-
-    def build(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("tok_seq", kind="stable")
-        rows, empty = g[["text", "conf", "x", "y", "h"]].to_dict("records"), pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        lines: list[list[dict]] = []
-        for t in rows:
-            low = t["text"].lower().strip()
-            if ":" in low or "$" in low or not any(w in low for w in dims.HEADER_WORDS):
-                continue
-            line = next((x for x in lines if abs(x[0]["y"] - t["y"]) <= HEADER_GAP), None)
-            if line is None:
-                lines.append([t])
-            else:
-                line.append(t)
-        heads = [x for x in lines if len(x) >= 2]
-        if not heads:
-            return empty
-        head = sorted(max(heads, key=len), key=lambda t: t["x"])
-        cols, floor = [t["x"] for t in head], max(t["y"] + t["h"] for t in head)
-        below = [t["y"] for t in rows if t["y"] > floor and any(w in t["text"].lower() for w in dims.TOTALS_WORDS)]
-        end, at, found = min(below, default=999999.0), None, []
-        for t in sorted((t for t in rows if floor + 10 <= t["y"] < end), key=lambda t: t["y"]):
-            if at is not None and abs(t["y"] - at) <= ROW_GAP:
-                at = (at + t["y"]) / 2
-                found[-1].append(t)
-            else:
-                at = t["y"]
-                found.append([t])
-        out, row_no = [], 0
-        for row in found:
-            cells: dict[int, tuple] = {}
-            for t in sorted(row, key=lambda t: t["x"]):
-                cells[min(range(len(cols)), key=lambda c: abs(t["x"] - cols[c]))] = _cell(t["text"], t["conf"])
-            if any(c[0] != "" for c in cells.values()):
-                out += [(g["document_id"].iloc[0], g["page"].iloc[0], row_no, c, *cells.get(c, ("", None, 0.0))) for c in range(len(cols))]
-                row_no += 1
-        return pd.DataFrame(out, columns=empty.columns) if out else empty
-
-    ok = tokens.where("text IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").withColumn("h", F.coalesce("h", F.lit(0.0))).withColumn("conf", F.coalesce("conf", F.lit(0.0)))
-    return ok.groupBy("document_id", "page").applyInPandas(build, schema)
+    cell = F.struct("tok_seq", "text", F.coalesce("conf", F.lit(0.0)).alias("conf"), "x", "y", F.coalesce("h", F.lit(0.0)).alias("h"))
+    ok = tokens.where("text IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    page = ok.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(cell)).alias("t"))  # a page's tokens are few
+    return page.select("document_id", "page", F.inline(_table_cells(*[F.col(f"t.{c}") for c in ("text", "conf", "x", "y", "h")])))
+
+
+_CELLS = T.ArrayType(T.StructType([
+    T.StructField("row_no", T.IntegerType()), T.StructField("col_no", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("value_num", T.DoubleType()), T.StructField("conf", T.DoubleType()),
+]))
+
+
+@F.pandas_udf(_CELLS)
+def _table_cells(text: pd.Series, conf: pd.Series, x: pd.Series, y: pd.Series, h: pd.Series) -> pd.Series:
+    names = [f.name for f in _CELLS.elementType.fields]
+    return pd.Series([[dict(zip(names, c)) for c in _table(list(zip(*page)))] for page in zip(text, conf, x, y, h)])
+
+
+def _table(tokens: list[tuple[str, float, float, float, float]]) -> list[tuple]:
+    """Cells of the table among tokens (text, conf, x, y, h) in reading order; see ``tables``."""
+    lines: list[list[tuple]] = []
+    for t in tokens:
+        low = t[0].lower().strip()
+        if ":" in low or "$" in low or not any(w in low for w in dims.HEADER_WORDS):
+            continue
+        line = next((n for n in lines if abs(n[0][3] - t[3]) <= HEADER_GAP), None)
+        if line is None:
+            lines.append([t])
+        else:
+            line.append(t)
+    heads = [n for n in lines if len(n) >= 2]
+    if not heads:
+        return []
+    head = max(heads, key=len)
+    cols, floor = sorted(t[2] for t in head), max(t[3] + t[4] for t in head)
+    below = [t[3] for t in tokens if t[3] > floor and any(w in t[0].lower() for w in dims.TOTALS_WORDS)]
+    end, at, found = min(below, default=999999.0), None, []
+    for t in sorted((t for t in tokens if floor + 10 <= t[3] < end), key=lambda t: t[3]):
+        if at is not None and abs(t[3] - at) <= ROW_GAP:
+            at = (at + t[3]) / 2
+            found[-1].append(t)
+        else:
+            at = t[3]
+            found.append([t])
+    out, row_no = [], 0
+    for row in found:
+        cells = {min(range(len(cols)), key=lambda c: abs(t[2] - cols[c])): _cell(t[0], t[1]) for t in sorted(row, key=lambda t: t[2])}
+        if any(c[0] != "" for c in cells.values()):
+            out += [(row_no, c, *cells.get(c, ("", None, 0.0))) for c in range(len(cols))]
+            row_no += 1
+    return out
 
 
 def _cell(text: str, conf: float) -> tuple[str, float | None, float]:

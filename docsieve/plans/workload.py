@@ -210,11 +210,9 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
     def draw(batches):
         for b in batches:
-            out = []
             for i, n in zip(b["document_id"], b["page"]):
                 p = draw_page(int(i) * 10 + int(n), PAGE_KINDS[int(i) % 8] if n == 1 else "clean")
-                out.append((i, n, p.shape[0], p.shape[1], p.tobytes()))
-            yield pd.DataFrame(out, columns=["document_id", "page", "height", "width", "data"])
+                yield pd.DataFrame([(i, n, p.shape[0], p.shape[1], p.tobytes())], columns=["document_id", "page", "height", "width", "data"])
 
     return rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(draw, "document_id BIGINT, page INT, height INT, width INT, data BINARY")
 

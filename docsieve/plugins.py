@@ -113,14 +113,13 @@ def pdf_pages(reader: PdfReader):
 
     def read(batches):
         for b in batches:
-            out = []
-            for i, c in zip(b["document_id"], b["content"]):
+            for i, c in zip(b["document_id"], b["content"]):  # a batch a file: pages are large
                 try:
                     got = reader.pages(bytes(c))
-                    out += [(i, n, *p.shape, p.tobytes(), text, 0.0, {"page_count": str(len(got))}, None) for n, (p, text) in enumerate(got, 1)]
+                    out = [(i, n, *p.shape, p.tobytes(), text, 0.0, {"page_count": str(len(got))}, None) for n, (p, text) in enumerate(got, 1)]
                 except Exception as e:  # any fault of the file is its own result, not the job's
-                    out.append((i, None, None, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=names)
+                    out = [(i, None, None, None, None, None, None, None, str(e))]
+                yield pd.DataFrame(out, columns=names)
 
     return lambda files: files.mapInPandas(read, PAGES)
 
