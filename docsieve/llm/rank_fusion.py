@@ -63,6 +63,7 @@ def least_by_distance(items: DataFrame, group: str, item: str, signals: Sequence
     check of the rankings up to the bound the rest. Groups of fewer items give all.
     """
     keys = [group, item]
+    items = written(items.select(*keys, *signals, *sorted(set(scale_keys.values()))), "items")
     z = written(_standardised(items, keys, signals, scale_keys), "standard-scores")
     order = median_rank(items, group, item, signals)
     order = order.select(*keys, F.struct(F.coalesce("median_rank", F.lit(float("inf"))), F.coalesce("mean_rank", F.lit(float("inf"))), item).alias("trust"))
@@ -116,7 +117,7 @@ def median_rank(items: DataFrame, group: str, item: str, signals: Sequence[str],
     signal has none of both and goes last.
     """
     weights = list(weights or [1.0] * len(signals))
-    parts = None
+    items, parts = written(items.select(group, item, *signals), "items"), None
     for s, w in zip(signals, weights):
         n = items.where(F.col(s).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
         r = distributed_rank(items, group, item, s).join(n, group).select(group, item, (F.col("rank") / F.col("n")).alias("rank"), F.lit(float(w)).alias("w"))
