@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve import dims
+from docsieve import api, dims
 from docsieve.functions import scalar as S
 from docsieve.operators import forensics, layout, trust
 from docsieve.pixels import page
@@ -790,6 +790,11 @@ def format_sniff(spark, sf):
     return h.select("hx", S.file_format(F.unhex("hx")).alias("fmt"))
 
 
+@query("SELECT document_id, max(document_type) document_type FROM results WHERE document_id IS NOT NULL GROUP BY 1")
+def document_list(spark, sf):
+    return api.documents(table(spark, sf, "results"))
+
+
 # ---------------------------------------------------------------------- pixels
 
 _KIND_SQL = "list_element(['" + "', '".join(W.PAGE_KINDS) + "'], (s_suppkey % 8 + 1)::int)"

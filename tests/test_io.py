@@ -120,6 +120,19 @@ def test_records(spark, tmp_path):
     assert records.vision_fields(answers).count() == 0
 
 
+def test_service_answers(spark, tmp_path):
+    from docsieve import api
+
+    one = lambda *v: spark.createDataFrame([v], "document_id STRING, field_name STRING, original_extracted_value STRING, corrected_value STRING, is_spurious_fp BOOLEAN")
+    path = str(tmp_path / "log")
+    api.submit(one("d", "VendorName", "ACME", "Acme Ltd", False), path)
+    got = api.submit(one("payslip-1", "TotalTax", None, None, True), path).first()
+    assert (got.total_corrections, got.learned_aliases, got.learned_suppressions) == (2, 1, 1)
+    assert api.corrections(records.read_corrections(spark, path)).where("original_value = 'ACME'").first().reviewer_id == "reviewer_01"
+    known = spark.createDataFrame([("d", "{}"), ("e", "{}")], "document_id STRING, json STRING")
+    assert api.document(known, "d").count() == 1 and api.document(known, "zz").count() == 0
+
+
 def test_redaction(spark):
     details = {"status": "OK", "name": "Ada", "extracted_text": "secret", "ssn": 7, "nested": {"phone": "1", "n": 2}, "list": [{"dob": "x", "k": 1}, 3]}
     got = json.loads(spark.createDataFrame([(json.dumps(details),), (None,), ("free text",)], "d STRING").select(out.redacted_json("d").alias("d")).first().d)
