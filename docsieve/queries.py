@@ -338,17 +338,18 @@ def claims_bundle_report(spark, sf):
 # ------------------------------------------------------------------- feedback
 
 _COR = """cor AS (SELECT k seq, CASE WHEN k % 100 = 0 THEN 'payslip-' || k ELSE 'inv-' || k END document_id, CASE WHEN k % 150 = 0 THEN 'DueDate' ELSE 'CustomerName' END field_name,
-CASE WHEN k % 250 = 0 THEN NULL WHEN k % 7 = 0 THEN '' ELSE nm END original, CASE WHEN k % 11 = 0 THEN nm ELSE 'Fixed ' || k END corrected, k % 150 = 0 AND k % 100 = 0 spurious FROM o WHERE k % 50 = 0)"""
+CASE WHEN k % 50 <> 0 OR k % 250 = 0 THEN NULL WHEN k % 7 = 0 THEN '' ELSE nm END original, CASE WHEN k % 50 <> 0 THEN NULL WHEN k % 11 = 0 THEN nm ELSE 'Fixed ' || k END corrected, k % 150 = 0 AND k % 100 = 0 spurious FROM o)"""
 _AL = "al AS (SELECT lower(trim(original)) original, arg_max(trim(corrected), seq) corrected FROM cor WHERE original <> '' AND corrected <> '' AND NOT spurious AND trim(original) <> trim(corrected) GROUP BY 1)"
 _SUP = "sup AS (SELECT DISTINCT CASE WHEN contains(lower(document_id), 'payslip') THEN 'payslip' ELSE 'generic' END document_type, field_name FROM cor WHERE spurious)"
 
 
 def _corrections(spark, sf):
     k = F.col("k")
-    return W.orders(spark, sf).where("k % 50 = 0").select(
+    no = k % 50 != 0  # reviewed, nothing corrected
+    return W.orders(spark, sf).select(
         k.alias("seq"), F.when(k % 100 == 0, F.concat(F.lit("payslip-"), k)).otherwise(F.concat(F.lit("inv-"), k)).alias("document_id"),
-        F.when(k % 150 == 0, "DueDate").otherwise("CustomerName").alias("field_name"), F.when(k % 250 == 0, None).when(k % 7 == 0, "").otherwise(F.col("name")).alias("original"),
-        F.when(k % 11 == 0, F.col("name")).otherwise(F.concat(F.lit("Fixed "), k)).alias("corrected"), ((k % 150 == 0) & (k % 100 == 0)).alias("spurious"),
+        F.when(k % 150 == 0, "DueDate").otherwise("CustomerName").alias("field_name"), F.when(no | (k % 250 == 0), None).when(k % 7 == 0, "").otherwise(F.col("name")).alias("original"),
+        F.when(no, None).when(k % 11 == 0, F.col("name")).otherwise(F.concat(F.lit("Fixed "), k)).alias("corrected"), ((k % 150 == 0) & (k % 100 == 0)).alias("spurious"),
     )
 
 
@@ -517,7 +518,7 @@ def token_extraction(spark, sf):
     """Fields of invoice pages from their tokens and, where label and value are apart, from the lines."""
     out = layout.first_matches(layout.candidates(W.page_tokens(spark, sf)), dims.PATTERNS_A)
     from_line = (F.length("raw_text") > F.length("value") + 11) & F.col("field_name").isin("InvoiceId", "InvoiceTotal")
-    return out.where("page = 1").select("document_id", "field_name", "value", from_line.alias("from_line"))
+    return out.select("document_id", "field_name", "value", from_line.alias("from_line"))
 
 
 _TABLE_SQL = f"""WITH {Q.ORDERS}, r AS (SELECT l_orderkey k, l_partkey, l_quantity, cast(floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) AS bigint) c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 rn FROM lineitem WHERE l_orderkey IN (SELECT k FROM o))
@@ -810,18 +811,18 @@ def page_quality(spark, sf):
 @query(f"SELECT s_suppkey::bigint document_id, true inside FROM supplier WHERE {_KIND_SQL} = 'spliced'")
 def ela_regions(spark, sf):
     """Pages with a spliced region: the strongest region lies where it was put in."""
-    p = W.pages(spark, sf).where("page = 1").select("document_id", F.inline(page.page_ela("data", "height", "width")))
+    p = W.pages(spark, sf).select("document_id", F.inline(page.page_ela("data", "height", "width")))
     best = p.groupBy("document_id").agg(F.max_by(F.struct("x", "y", "w", "h"), "score").alias("r"))
     return best.select("document_id", ((F.col("r.x") >= 256) & (F.col("r.y") >= 256) & (F.col("r.x") + F.col("r.w") <= 432) & (F.col("r.y") + F.col("r.h") <= 368)).alias("inside"))
 
 
-@query(f"SELECT s_suppkey::bigint document_id, true near_itself FROM supplier WHERE {_KIND_SQL} NOT IN ('blank')")
+@query(f"SELECT s_suppkey::bigint document_id, 1 page, {_KIND_SQL} <> 'blank' near_itself FROM supplier UNION ALL SELECT s_suppkey::bigint, 2, true FROM supplier WHERE s_suppkey % 5 = 0")
 def page_hashes(spark, sf):
-    """Perceptual hashes of pages and of their noisy, shifted copies: within the radius of each other."""
-    p = W.pages(spark, sf).where("page = 1")
+    """Perceptual hashes of pages and of their noisy, shifted copies: within the radius of each other, but for blank pages, which have no frequencies."""
+    p = W.pages(spark, sf)
     again = page.page_perturbed("data", "height", "width", "document_id", F.lit(0))
-    both = p.withColumn("again", again).select("document_id", page.page_phash("data", "height", "width").alias("h1"), page.page_phash("again", "height", "width").alias("h2"))
-    return both.where(F.pmod("document_id", F.lit(8)) != 4).select("document_id", (S.hamming(F.col("h1"), F.col("h2")) <= dims.HAMMING_NEAR).alias("near_itself"))  # a blank page has no frequencies
+    both = p.withColumn("again", again).select("document_id", "page", page.page_phash("data", "height", "width").alias("h1"), page.page_phash("again", "height", "width").alias("h2"))
+    return both.select("document_id", "page", (S.hamming(F.col("h1"), F.col("h2")) <= dims.HAMMING_NEAR).alias("near_itself"))
 
 
 @query(f"SELECT s_suppkey::bigint document_id, true deskew_applied, true straight FROM supplier WHERE {_KIND_SQL} = 'skewed'")

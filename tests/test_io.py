@@ -1,5 +1,6 @@
 import io
 import json
+import struct
 import sys
 import zipfile
 
@@ -120,6 +121,21 @@ def test_records(spark, tmp_path):
     assert records.vision_fields(answers).count() == 0
 
 
+def test_exif(spark):
+    def tiff(order):
+        p = lambda f, *v: struct.pack(order + f, *v)
+        make, when = b"Acme Camera\0", b"2024:03-15\0"
+        first = p("H", 3) + p("HHII", 271, 2, len(make), 100) + p("HHI", 305, 2, 3) + b"ed\0\0" + p("HHII", 34665, 4, 1, 60) + p("I", 0)
+        body = (b"II*\0" if order == "<" else b"MM\0*") + p("I", 8) + first
+        body = body.ljust(60, b"\0") + p("H", 1) + p("HHII", 36867, 2, len(when), 120) + p("I", 0)
+        return body.ljust(100, b"\0") + make.ljust(20, b"\0") + when
+
+    want = {"Make": "Acme Camera", "Software": "ed", "DateTimeOriginal": "2024:03-15"}
+    rows = [(1, tiff("<")), (2, tiff(">")), (3, b"\xff\xd8\xff\xe1\0\x10Exif\0\0" + tiff("<")), (4, b"\xff\xd8 none"), (5, tiff("<")[:30]), (6, None), (7, b"")]
+    got = {r.i: r.e for r in spark.createDataFrame(rows, "i INT, c BINARY").select("i", files.exif("c").alias("e")).collect()}
+    assert got[1] == got[2] == got[3] == want and got[4] == got[6] == got[7] == {} and "Make" in got[5]
+
+
 def test_service_answers(spark, tmp_path):
     from docsieve import api
 
