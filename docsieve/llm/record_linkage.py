@@ -19,7 +19,6 @@ can't be compared; all others meet by a sum or contradict each other.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Collection
 
 import pandas as pd
@@ -27,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsieve.llm.matching import greatest_matching
 from docsieve.llm.name_variants import abbreviates, heard, words_of
 from docsieve.llm.survivorship import is_blank
 from docsieve.runtime import written
@@ -37,8 +37,10 @@ WEIGHTS = {"seller": 0.3, "buyer": 0.3, "total": 0.3, "day": 0.1}
 ACCEPT = 0.75
 #: A field that one side lacks counts as much; without sums to compare both parties must agree so well.
 ABSENT, PARTIES = 0.6, 0.8
-#: A component of so many pairs at most is assigned exactly, by one task.
-EXACT_PAIRS = 2_000
+#: Every component is assigned exactly. A caller may set a number of pairs, above which one is taken in rounds of mutual best pairs.
+EXACT_PAIRS: int | None = None
+#: Confidences are added as whole numbers of this fraction.
+WEIGHT_UNITS = 10**9
 
 
 def amount_cents(value: Column) -> Column:
@@ -178,77 +180,15 @@ def linkable_pairs(records: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- assignment
 
 def best_assignment(edges: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
-    """The pairs of greatest total weight in which each record stands once.
-
-    Where the records fall into two sides, by augmenting paths of greatest gain;
-    else (a record of both sides closes an odd ring) all choices are tried, or
-    for many pairs, those that are taken greedily and then improved in turn.
-    """
-    edges, adj = sorted(edges), defaultdict(dict)
-    for a, b, w in edges:
-        if w > adj[a].get(b, 0):
-            adj[a][b] = adj[b][a] = w
-    colour: dict[str, int] = {}
-    for start in sorted(adj):
-        stack = [] if start in colour else [start]
-        colour.setdefault(start, 0)
-        while stack:
-            x = stack.pop()
-            for y in adj[x]:
-                if y not in colour:
-                    colour[y] = 1 - colour[x]
-                    stack.append(y)
-    if any(colour[a] == colour[b] for a, b, _ in edges):
-        return _odd_assignment(edges, adj)
-    mate: dict[str, str] = {}
-    while True:
-        gain = {x: 0.0 for x in sorted(adj) if colour[x] == 0 and x not in mate}
-        back: dict[str, str] = {}
-        queue = list(gain)
-        while queue:  # longest alternating paths; no ring gains, as each step was the best
-            x = queue.pop(0)
-            for y, w in sorted(adj[x].items()):
-                g = gain[x] + w
-                if mate.get(x) != y and g > gain.get(y, -1e9) + 1e-12:
-                    gain[y], back[y] = g, x
-                    z = mate.get(y)
-                    if z is not None and g - adj[y][z] > gain.get(z, -1e9) + 1e-12:
-                        gain[z], back[z] = g - adj[y][z], y
-                        queue.append(z)
-        ends = [(g, y) for y, g in gain.items() if colour[y] == 1 and y not in mate and g > 1e-9]
-        if not ends:
-            break
-        y = max(ends, key=lambda e: (round(e[0], 9), e[1]))[1]
-        while y is not None:
-            x = back[y]
-            y_next = mate.get(x)
-            mate[y], mate[x] = x, y
-            y = y_next
-    return [(a, b, w) for a, b, w in edges if mate.get(a) == b and adj[a][b] == w]
-
-
-def _odd_assignment(edges: list, adj: dict) -> list:
-    if len(edges) <= 18:
-        def best(k: int, used: frozenset) -> tuple[float, list]:
-            if k == len(edges):
-                return 0.0, []
-            a, b, w = edges[k]
-            out = best(k + 1, used)
-            if a not in used and b not in used:
-                g, rest = best(k + 1, used | {a, b})
-                out = max(out, (g + w, [edges[k], *rest]), key=lambda x: x[0])
-            return out
-
-        return best(0, frozenset())[1]
-    taken: dict[str, tuple] = {}
-    for _ in range(3):
-        for e in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
-            rivals = {taken[x] for x in e[:2] if x in taken} - {e}
-            if taken.get(e[0]) != e and sum(r[2] for r in rivals) < e[2]:
-                for r in rivals:
-                    taken.pop(r[0]), taken.pop(r[1])
-                taken[e[0]] = taken[e[1]] = e
-    return sorted(set(taken.values()))
+    """The pairs of greatest total weight in which each record stands once, also where one is a left and a right record."""
+    best: dict[tuple[str, str], tuple[str, str, float]] = {}
+    for e in sorted(edges):
+        if e[2] > best.get((min(e[:2]), max(e[:2])), (0, 0, 0.0))[2]:
+            best[min(e[:2]), max(e[:2])] = e
+    ids = sorted({x for e in best for x in e})
+    at = {x: i for i, x in enumerate(ids)}
+    mate = greatest_matching(len(ids), [(at[a], at[b], round(e[2] * WEIGHT_UNITS)) for (a, b), e in best.items()])
+    return sorted(e for (a, b), e in best.items() if mate[at[a]] == at[b])
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -267,25 +207,25 @@ def assign(pairs: DataFrame) -> DataFrame:
     """One-to-one assignment of greatest total confidence. pairs: l, r, confidence; a record stands in one pair of all.
 
     A pair without rivals stands. The others are assigned exactly, component by
-    component; components of more than EXACT_PAIRS pairs in rounds, in which the
-    pairs that are best for both records are taken (at least half the greatest
-    total). Ties go to the lower ids.
+    component whatever its size, each by one task. Of equal totals the same one is
+    taken for the same pairs.
     """
     rows = written(pairs.select("l", "r", "confidence"), "assign")
     ends = rows.select(F.explode(F.array("l", "r")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     held = ends.where("n > 1").select("id")
     rivals = rows.join(held.toDF("l"), "l", "left_semi").unionByName(rows.join(held.toDF("r"), "r", "left_semi")).distinct()
     rivals = components(written(rivals, "rivals"))
-    sizes = rivals.groupBy("comp").agg(F.count("*").alias("n"))
     alone = rows.join(rivals.select("l", "r"), ["l", "r"], "left_anti")
-    small = rivals.join(sizes.where(F.col("n") <= EXACT_PAIRS), "comp", "left_semi")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(best_assignment(list(rows[["l", "r", "confidence"]].itertuples(index=False, name=None))), columns=["l", "r", "confidence"])
 
-    out = alone.unionByName(small.groupBy("comp").applyInPandas(solve, "l STRING, r STRING, confidence DOUBLE"))
-    large = rivals.join(sizes.where(F.col("n") > EXACT_PAIRS), "comp", "left_semi").drop("comp")
-    return out.unionByName(_mutual_best(large))
+    schema = "l STRING, r STRING, confidence DOUBLE"
+    if EXACT_PAIRS is None:
+        return alone.unionByName(rivals.groupBy("comp").applyInPandas(solve, schema))
+    sizes = rivals.groupBy("comp").agg(F.count("*").alias("n"))
+    small, large = (rivals.join(sizes.where(x), "comp", "left_semi") for x in (F.col("n") <= EXACT_PAIRS, F.col("n") > EXACT_PAIRS))
+    return alone.unionByName(small.groupBy("comp").applyInPandas(solve, schema)).unionByName(_mutual_best(large.drop("comp")))
 
 
 def _mutual_best(pairs: DataFrame) -> DataFrame:

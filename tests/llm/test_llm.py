@@ -304,6 +304,21 @@ def test_assignment_has_the_greatest_total(spark, monkeypatch):
     assert [(r.l, r.r) for r in record_linkage.assign(spark.createDataFrame(trap, schema)).collect()] == [("l1", "r1")]
 
 
+def test_assignment_is_exact_for_components_of_any_size(spark):
+    n = 50  # one component of 2,500 pairs; the least sum of i * j is that of opposite orders, best pairs first would take equal ones
+    pairs = [(f"l{i:02}", f"r{j:02}", 1 - 0.25 * i * j / n**2) for i in range(1, n + 1) for j in range(1, n + 1)]
+    got = record_linkage.assign(spark.createDataFrame(pairs, "l STRING, r STRING, confidence DOUBLE")).collect()
+    assert sorted((r.l, r.r) for r in got) == [(f"l{i:02}", f"r{n + 1 - i:02}") for i in range(1, n + 1)]
+
+
+def test_assignment_is_exact_for_odd_rings_of_many_pairs():
+    rng, ids = random.Random(4), [f"x{i}" for i in range(9)]
+    for _ in range(60):
+        edges = [(a, b, rng.randint(75, 100) / 100) for a, b in rng.sample([(a, b) for i, a in enumerate(ids) for b in ids[i + 1:]], rng.randint(19, 32))]
+        best = record_linkage.best_assignment(edges + [(b, a, w) for a, b, w in edges])
+        assert len({x for e in best for x in e[:2]}) == 2 * len(best) and sum(e[2] for e in best) == pytest.approx(_greatest(edges))
+
+
 def test_packing(spark):
     pytest.importorskip("tiktoken")
     rng = random.Random(2)
