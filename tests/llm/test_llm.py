@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -133,6 +134,21 @@ def test_layouts_lose_no_pair():
             assert any(not diff & m for m in lay.masks)
 
 
+def test_cover_layouts_lose_no_pair_and_cost_less():
+    rng = random.Random(2)
+    for k, radii in H.COVERS.items():
+        lay = H.Layout(k)
+        assert sum(r + 1 for r in radii) == H.RADIUS + 1 and sum(lay.blocks) == 2**64 - 1 and lay.recall(8) == 1.0 > lay.recall(9)
+        assert all(x < 2**64 for x in lay.blocks) and len(set(lay.masks)) == len(lay.masks) == sum(2 ** (r + 1) - 1 for r in radii)
+        for block, r in zip(lay.blocks, radii):  # the share of flipped bits of one block, in every way for up to 3
+            inside = [m for m in lay.masks if m & block and not m & ~block & (2**64 - 1)]
+            bits = [1 << i for i in range(64) if block >> i & 1]
+            for c in combinations(bits, r) if r <= 3 else (rng.sample(bits, r) for _ in range(3000)):
+                assert any(not sum(c) & m for m in inside)
+    for rows in (10**6, 10**7, 10**8):
+        assert H.choose_layout(rows).cost(rows) * 1.5 < min(H.Layout(k).cost(rows) for k in (1, 2, 3))
+
+
 def test_survivorship(spark):
     t = dt.datetime(2025, 1, 1)
     members = spark.createDataFrame([("a", "g", t), ("b", "g", t.replace(day=2)), ("b", "g", t.replace(day=2)), ("c", "g", None), ("z", None, t)], "document_id STRING, group_id STRING, processed_at TIMESTAMP")
