@@ -48,35 +48,51 @@ def encrypted_pages(pages: DataFrame, keys: KeyProvider) -> DataFrame:
     return pages.select("document_id", "page", name.alias("name"), encrypt(page_png("data", "height", "width"), F.lit(keys.key()), ctx).alias("secret"))
 
 
+def crop(img: np.ndarray, x: float, y: float, w: float, h: float) -> tuple[bytes, str]:
+    """The place of a page as PNG, and its digest."""
+    x0, y0, x1, y1 = crop_box(x, y, w, h, *img.shape[:2])
+    png = png_bytes(np.ascontiguousarray(grey(img[y0:y1, x0:x1])))
+    return png, hashlib.sha256(png).hexdigest()[:12]
+
+
+def _no_place(place: list) -> bool:
+    return any(v is None or v != v for v in place)
+
+
 _CROP = T.StructType([T.StructField("png", T.BinaryType()), T.StructField("digest", T.StringType())])
+CROP = "document_id BIGINT, page INT, field_name STRING, x DOUBLE, y DOUBLE, png BINARY, digest STRING"
 
 
 @F.pandas_udf(_CROP)
 def _crop(data: pd.Series, height: pd.Series, width: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
-    out = []
-    for d, a, b, *place in zip(data, height, width, x, y, w, h):
-        if d is None or any(v is None or v != v for v in place):
-            out.append((None, None))
-            continue
-        x0, y0, x1, y1 = crop_box(*place, int(a), int(b))
-        png = png_bytes(np.ascontiguousarray(grey(to_page(d, a, b))[y0:y1, x0:x1]))
-        out.append((png, hashlib.sha256(png).hexdigest()[:12]))
+    out = [(None, None) if d is None or _no_place(place) else crop(to_page(d, a, b), *place) for d, a, b, *place in zip(data, height, width, x, y, w, h)]
     return pd.DataFrame(out, columns=["png", "digest"])
 
 
+def page_crops(document_id, page: int, img: np.ndarray, places: list[tuple]) -> list[tuple]:
+    """CROP rows of one page from its places (field_name, x, y, w, h)."""
+    return [(document_id, page, n, *(None if _no_place([v]) else v for v in at[:2]), *((None, None) if _no_place(at) else crop(img, *at))) for n, *at in places]
+
+
 def crops(fields: DataFrame, pages: DataFrame, keys: KeyProvider) -> DataFrame:
     """Encrypted crop of each field (document_id, page, field_name, x, y, w, h): crop_ref and secret.
 
     The box is padded by 4 and kept inside the page; a box without a size is the
-    page's corner. A field without a place or page has NULL for both.
+    page's corner. A field without a place or page has NULL for both. Pages are large
+    whatever their table's size is thought to be, so they are never broadcast.
     """
-    j = fields.join(pages.select("document_id", "page", "data", "height", "width"), ["document_id", "page"], "left")
+    j = fields.join(pages.select("document_id", "page", "data", "height", "width").hint("merge"), ["document_id", "page"], "left")
     j = j.withColumn("c", _crop("data", "height", "width", "x", "y", "w", "h"))
+    return encrypted_crops(j.select("document_id", "page", "field_name", "x", "y", "c.*"), keys)
+
+
+def encrypted_crops(cut: DataFrame, keys: KeyProvider) -> DataFrame:
+    """crop_ref and secret of crops (columns as CROP's)."""
     whole = lambda c: F.col(c).cast("int").cast("string")  # noqa: E731  towards zero
-    crop_id = F.concat(F.lit("crop_"), F.col("document_id").cast("string"), F.lit("_p"), F.col("page").cast("string"), F.lit("_"), whole("x"), F.lit("_"), whole("y"), F.lit("_"), F.col("c.digest"))
-    j = j.withColumn("crop_id", crop_id)
+    crop_id = F.concat(F.lit("crop_"), F.col("document_id").cast("string"), F.lit("_p"), F.col("page").cast("string"), F.lit("_"), whole("x"), F.lit("_"), whole("y"), F.lit("_"), F.col("digest"))
+    j = cut.withColumn("crop_id", crop_id)
     ctx = context(crop_id=F.col("crop_id"), doc_id=F.col("document_id"), page=F.col("page"))
-    return j.select("document_id", "page", "field_name", F.concat(F.lit("crop://"), "crop_id").alias("crop_ref"), encrypt(F.col("c.png"), F.lit(keys.key()), ctx).alias("secret"))
+    return j.select("document_id", "page", "field_name", F.concat(F.lit("crop://"), "crop_id").alias("crop_ref"), encrypt(F.col("png"), F.lit(keys.key()), ctx).alias("secret"))
 
 
 def result_json(scored: DataFrame, status: DataFrame) -> DataFrame:

@@ -110,6 +110,13 @@ def test_field_crops_of_every_page(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want and "_p2_" in str(want)
 
 
+def test_crops_never_broadcast_pages(spark):
+    pages = spark.createDataFrame([("d", 1, 64, 64, bytes(64 * 64))], "document_id STRING, page INT, height INT, width INT, data BINARY")
+    fields = spark.createDataFrame([("d", 1, "A", 5.0, 6.0, 3.0, 1.0)], "document_id STRING, page INT, field_name STRING, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE")
+    plans = [out.crops(fields, pages, KEY), QUERIES["field_crops"](spark, "/root/testdata/sf0.001")]
+    assert all("Broadcast" not in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "gt.json").write_text(json.dumps({"document_type": "invoice", "description": "d", "fields": {"InvoiceId": "INV-1", "Subtotal": 900.0}}))
     labels = records.read_labels(spark, str(tmp_path / "gt.json"))
