@@ -179,6 +179,6 @@ def test_pixels():
 
 
 def test_pages_stay_in_the_function_that_draws_them(spark):
-    for name in ("page_hashes",):
+    for name in ("page_hashes", "page_deskew"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" not in plan and plan.count("MapInPandas") == 1
