@@ -267,14 +267,18 @@ def _edits(n: F.Column) -> F.Column:
     return F.greatest(F.when(n >= 5, 2).otherwise(0), F.floor(0.15 * n + 1e-9)).cast("int")
 
 
+#: Texts of a bundle's entity up to which all meet each other; what is found does not depend on it.
+FEW_TEXTS = 64
+
+
 def near_classes(classes: DataFrame) -> DataFrame:
     """(bundle_id, entity_key, cls_1, cls_2) of different classes that agree, both ways round.
 
     classes: bundle_id, entity_key, kind, cls, num, day, txt; distinct. Numbers within
     1 meet in neighbouring whole numbers. Texts within k edits meet by a
-    partition: cut into k + 1 pieces, the shorter one has a piece that stands in
-    the longer one, shifted by k at most, so an equi-join finds all and no group
-    is compared in pairs.
+    partition: cut into k + 1 pieces, one of them has a piece that stands in
+    the other, shifted by k at most, so an equi-join finds all and no large group
+    is compared in pairs. The few texts of a small group all meet, with the same result.
     """
     keys = ["bundle_id", "entity_key"]
     one = classes.where("num IS NOT NULL").select(*keys, F.col("cls").alias("cls_1"), F.col("num").alias("x"), F.floor("num").cast("bigint").alias("at"))
@@ -282,41 +286,73 @@ def near_classes(classes: DataFrame) -> DataFrame:
     numbers = one.join(two, [*keys, "at"]).where((F.abs(F.col("x") - F.col("y")) <= 1.0) & (F.col("cls_1") != F.col("cls_2"))).select(*keys, "cls_1", "cls_2")
     days = classes.where("day IS NOT NULL").select(*keys, "cls", "day")
     dates = days.withColumnRenamed("cls", "cls_1").join(days.withColumnRenamed("cls", "cls_2"), [*keys, "day"]).where("cls_1 <> cls_2").select(*keys, "cls_1", "cls_2")  # one date in a few notations
-    readable = F.when(F.col("num").isNotNull(), "n").when(F.col("day").isNotNull(), "d").otherwise("")
-    t = classes.where("kind <> 'IDENTIFIER' AND txt <> ''").select(*keys, "cls", readable.alias("read"), "txt", F.length("txt").alias("n"))
-    # the longer of a near pair has n letters more at most: k is taken for that length
-    most = F.greatest(F.col("n") + 2, F.ceil(F.col("n") * 100 / 85)).cast("int")
-    short = t.withColumn("k", _edits(most)).where("k > 0")
-    piece = F.expr("transform(sequence(0, k), i -> struct(i AS i, CAST(floor(n * i / (k + 1)) AS INT) AS at, CAST(floor(n * (i + 1) / (k + 1)) AS INT) - CAST(floor(n * i / (k + 1)) AS INT) AS len))")
-    index = short.select(*keys, F.col("cls").alias("cls_1"), F.col("txt").alias("t1"), "read", "n", "k", F.inline(piece)).select(*keys, "cls_1", "t1", F.col("read").alias("read_1"), "n", "i", F.expr("substring(t1, at + 1, len)").alias("piece"))
-    probe = t.select(*keys, F.col("cls").alias("cls_2"), F.col("txt").alias("t2"), F.col("read").alias("read_2"), F.inline(_probes("txt"))).distinct()
-    joined = index.join(probe, [*keys, "n", "i", "piece"]).where("cls_1 <> cls_2 AND (read_1 = '' OR read_2 = '')")
-    longest, lev = F.greatest(F.length("t1"), F.length("t2")), F.levenshtein("t1", "t2")
-    texts = joined.where(((lev <= 2) & (longest >= 5)) | ((longest - lev) / longest >= 0.85)).select(*keys, "cls_1", "cls_2").distinct()
+    readable = F.col("num").isNotNull() | F.col("day").isNotNull()
+    t = classes.where("kind <> 'IDENTIFIER' AND txt <> ''").select(*keys, "cls", readable.alias("read"), "txt")
+    # two readable values are never compared as texts
+    t = t.join(t.groupBy(*keys).agg(F.count("*").alias("n_texts"), F.count_if(~F.col("read")).alias("n_free")), keys).where("n_texts > 1 AND n_free > 0")
+    few = t.where(F.col("n_texts") <= FEW_TEXTS)
+    pair = few.select(*keys, F.col("cls").alias("cls_1"), F.col("txt").alias("t1"), F.col("read").alias("read_1")).join(few.select(*keys, F.col("cls").alias("cls_2"), F.col("txt").alias("t2"), F.col("read").alias("read_2")), keys)
+    texts = pair.where("cls_1 < cls_2 AND NOT (read_1 AND read_2)").where(_near_texts()).select(*keys, "cls_1", "cls_2")
+    texts = texts.unionByName(_near_by_pieces(t.where(F.col("n_texts") > FEW_TEXTS), keys))
     both = texts.unionByName(texts.select(*keys, F.col("cls_2").alias("cls_1"), F.col("cls_1").alias("cls_2")))
     return numbers.unionByName(dates).unionByName(both).distinct()
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("piece", T.StringType())])))
-def _probes(texts: pd.Series) -> pd.Series:
-    """The pieces by which a text may hold a shorter or equal one of n letters that is near it."""
+def _near_texts() -> F.Column:
+    longest, lev = F.greatest(F.length("t1"), F.length("t2")), F.levenshtein("t1", "t2")
+    return ((lev <= 2) & (longest >= 5)) | ((longest - lev) / longest >= 0.85)
+
+
+def _near_by_pieces(t: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cls_1, cls_2) of near texts (keys, cls, txt, read, n_texts, n_free) of large groups.
+
+    All texts are cut, and those that are not readable look for the pieces. Group and
+    piece are one hash in the rows that are joined; what meets is compared, its group too.
+    """
+    t = written(t.withColumn("id", F.monotonically_increasing_id()), "near-texts")
+    n = F.length("txt")
+    # the longer of a near pair has n letters more at most: k is taken for that length
+    k = _edits(F.greatest(n + 2, F.ceil(n * 100 / 85)).cast("int"))
+    piece = F.expr("transform(sequence(0, k), i -> struct(n, i, substring(txt, CAST(floor(n * i / (k + 1)) AS INT) + 1, CAST(floor(n * (i + 1) / (k + 1)) AS INT) - CAST(floor(n * i / (k + 1)) AS INT)) AS piece, false AS longer))")
+    cut = t.withColumn("n", n).withColumn("k", k).where("k > 0").select(*keys, F.col("id").alias("id_1"), F.col("txt").alias("t1"), F.col("read").alias("read_1"), F.inline(piece))
+    probe = t.where("NOT read").select(*keys, F.col("id").alias("id_2"), F.col("txt").alias("t2"), F.inline(_probes("txt", F.col("n_free") < F.col("n_texts"))))
+    hashed = lambda df, *cols: df.select(F.xxhash64(*keys, "n", "i", "piece").alias("h"), *cols)
+    met = hashed(cut, "id_1", "t1", "read_1").join(hashed(probe, "id_2", "t2", "longer"), "h")
+    # a cut text that is longer than the one that looks for it is met only if it is readable: else it looks itself
+    met = met.where("id_1 <> id_2 AND (read_1 OR NOT longer)").where(_near_texts()).select("id_1", "id_2").distinct()
+    named = lambda i: t.select(F.col("id").alias(f"id_{i}"), F.struct(*keys).alias(f"g_{i}"), F.col("cls").alias(f"cls_{i}"))
+    return met.join(named(1), "id_1").join(named(2), "id_2").where("g_1 = g_2").select("g_1.*", "cls_1", "cls_2")
+
+
+def text_probes(t: str, longer: bool = False) -> list[tuple[int, int, str, bool]]:
+    """(n, i, piece, n is beyond its length) by which a text may meet piece i of one of n letters that is near it; longer ones too if asked for.
+
+    If i is the first piece with at most i edits before its end, it is whole, moved by i
+    at most from the front, and by k - i at most from the back.
+    """
 
     def edits(n: int) -> int:
         return max(2 if n >= 5 else 0, int(0.15 * n + 1e-9))
 
-    def probe(t: str) -> list:
-        out, size = {}, len(t)
-        for n in range(max(1, size - edits(size)), size + 1):
-            k = edits(max(n + 2, -(-n * 100 // 85)))
-            for i in range(k + 1 if k else 0):
-                at = n * i // (k + 1)
-                length = n * (i + 1) // (k + 1) - at
-                for shift in range(max(-k, -at), k + 1):
-                    if at + shift + length <= size:
-                        out[n, i, t[at + shift:at + shift + length]] = None
-        return [{"n": n, "i": i, "piece": p} for n, i, p in out]
-
-    return texts.map(probe)
+    most = lambda n: max(n + 2, -(-n * 100 // 85))
+    out, size = {}, len(t)
+    for n in range(max(1, size - edits(size)), (most(size) if longer else size) + 1):
+        k = edits(most(n))
+        for i in range(k + 1 if k else 0):
+            at = n * i // (k + 1)
+            length = n * (i + 1) // (k + 1) - at
+            for shift in range(max(-i, size - n - (k - i), -at), min(i, size - n + (k - i)) + 1):
+                if at + shift + length <= size:
+                    out[n, i, t[at + shift:at + shift + length], n > size] = None
+    return list(out)
+
+
+_PROBE = [("n", T.IntegerType()), ("i", T.IntegerType()), ("piece", T.StringType()), ("longer", T.BooleanType())]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(*f) for f in _PROBE])))
+def _probes(texts: pd.Series, longer: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("n", "i", "piece", "longer"), p)) for p in text_probes(t, bool(x))] for t, x in zip(texts, longer)])
 
 
 def contradicted(claims: DataFrame) -> DataFrame:

@@ -161,6 +161,23 @@ def test_near_texts_equal_brute_force(spark):
     assert got == want and len(want) > 60
 
 
+def test_near_texts_of_groups_of_any_size(spark):
+    rng = random.Random(5)
+    rows = []
+    for group, size in ((1, 20), (2, 110)):
+        base = [str(rng.randint(10, 999999)) for _ in range(size)]
+        words = sorted(set(base) | {b[:k] + rng.choice("x01") + b[k + rng.randint(0, 1):] + rng.choice(["", "", "eur"]) for b in base for k in [rng.randrange(len(b))]})
+        rows += [(group, "tax_amount", "NUMERIC", "c:" + w, 1e9 * len(w) + 10 * i if w.isdigit() else None, None, w) for i, w in enumerate(words)]  # numbers are far apart
+    df = spark.createDataFrame(rows, "bundle_id INT, entity_key STRING, kind STRING, cls STRING, num DOUBLE, day DATE, txt STRING")
+    got = {tuple(r) for r in trust.near_classes(df).select("bundle_id", "cls_1", "cls_2").collect()}
+    pairs = spark.createDataFrame([(a[0], a[6], b[6]) for a in rows for b in rows if a[0] == b[0] and a[6] != b[6] and not (a[6].isdigit() and b[6].isdigit())], "g INT, x STRING, y STRING")
+    n, lev = F.greatest(F.length("x"), F.length("y")), F.levenshtein("x", "y")
+    want = {(r.g, "c:" + r.x, "c:" + r.y) for r in pairs.where(((lev <= 2) & (n >= 5)) | ((n - lev) / n >= 0.85)).collect()}
+    assert got == want and len({w[0] for w in want}) == 2
+    # most pieces of a text need not be looked for at every shift
+    assert len(trust.text_probes("unrelated trading comp")) < 60
+
+
 def test_pixels():
     rng = np.random.default_rng(0)
     img = rng.integers(0, 255, (128, 128)).astype(np.uint8)
