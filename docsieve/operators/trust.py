@@ -135,23 +135,23 @@ def validations(doc: DataFrame) -> DataFrame:
     return rows.select("document_id", "field_name", "c.flags", "c.passed", "c.cap")
 
 
-def escalate(scored: DataFrame, threshold: float = dims.ESCALATE_BELOW) -> DataFrame:
+def escalate(scored: DataFrame, threshold: float = dims.ESCALATE_BELOW, more: tuple[F.Column, ...] = ()) -> DataFrame:
     """Status of each document with its reasons and flags. scored: as of ``fuse_readings``.
 
     Reasons in order: arithmetic, then field by field by name a low final
     confidence and a disagreement of the paths; each once. authenticity_flags
-    are the summary flags, marked VALIDATION:.
+    are the summary flags, marked VALIDATION:. more: further aggregates of a document's fields, by their names.
     """
     low = F.when(F.col("final") < threshold, S.low_confidence_reason(F.col("field_name"), F.col("final"), threshold))
     differ = F.when(F.col("agreement") == "ocr!=vision", S.disagreement_reason(F.col("field_name"), F.col("value")))
-    rows = scored.select("document_id", "field_name", "final", "summary_flags", F.array_compact(F.array(low, differ)).alias("why"))
+    rows = scored.withColumn("why", F.array_compact(F.array(low, differ)))
     g = rows.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.struct("field_name", "why"))).alias("why"), F.first("summary_flags").alias("summary_flags"), F.min("final").alias("min_conf"), F.count("*").alias("n_fields")
+        F.array_sort(F.collect_list(F.struct("field_name", "why"))).alias("why"), F.first("summary_flags").alias("summary_flags"), F.min("final").alias("min_conf"), F.count("*").alias("n_fields"), *more,
     )
     first = F.when(F.array_contains("summary_flags", "ARITHMETIC_INCONSISTENCY"), F.array(F.lit("Arithmetic inconsistency: Subtotal + TotalTax != InvoiceTotal"))).otherwise(F.array().cast("array<string>"))
     reasons = F.array_distinct(F.concat(first, F.flatten(F.transform("why", lambda x: x.why))))
     return g.select(
-        "document_id", reasons.alias("reasons"), F.transform("summary_flags", lambda f: F.concat(F.lit("VALIDATION:"), f)).alias("authenticity_flags"), "min_conf", "n_fields",
+        "document_id", reasons.alias("reasons"), F.transform("summary_flags", lambda f: F.concat(F.lit("VALIDATION:"), f)).alias("authenticity_flags"), "min_conf", "n_fields", *g.columns[5:],
     ).withColumn("status", F.when(F.size("reasons") > 0, "NEEDS_REVIEW").otherwise("OK"))
 
 

@@ -95,17 +95,29 @@ def encrypted_crops(cut: DataFrame, keys: KeyProvider) -> DataFrame:
     return j.select("document_id", "page", "field_name", F.concat(F.lit("crop://"), "crop_id").alias("crop_ref"), encrypt(F.col("png"), F.lit(keys.key()), ctx).alias("secret"))
 
 
-def result_json(scored: DataFrame, status: DataFrame) -> DataFrame:
-    """(document_id, json): a document's record with its fields. scored: ``trust.fuse_readings``; status: ``trust.escalate``."""
+def _field_cells() -> Column:
+    """A document's scored fields in order of their names, as an aggregate."""
     breakdown = F.struct(F.col("native").alias("native_ocr"), F.col("consistency").alias("consistency_signal"), F.when(F.col("passed"), 1.0).otherwise(0.0).alias("validation_signal"), F.col("flags").alias("validation_flags"), "final")
     cell = F.struct("field_name", "value", F.col("final").alias("confidence"), F.col("agreement").alias("extraction_agreement"), F.when(F.col("passed"), "PASSED").otherwise("FAILED").alias("validation"), breakdown.alias("confidence_breakdown"))
-    fields = scored.groupBy("document_id").agg(F.array_sort(F.collect_list(cell), lambda a, b: F.when(a.field_name < b.field_name, -1).when(a.field_name > b.field_name, 1).otherwise(0)).alias("f"))
+    return F.array_sort(F.collect_list(cell), lambda a, b: F.when(a.field_name < b.field_name, -1).when(a.field_name > b.field_name, 1).otherwise(0)).alias("f")
+
+
+def _as_json(j: DataFrame) -> DataFrame:
     as_map = F.map_from_entries(F.transform("f", lambda x: F.struct(x.field_name, x)))
-    j = status.join(fields, "document_id")
     record = F.struct(F.col("document_id").cast("string").alias("document_id"), F.col("status").alias("document_status"), "authenticity_flags", F.col("reasons").alias("escalation_reasons"), as_map.alias("fields"))
     return j.select("document_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def result_json(scored: DataFrame, status: DataFrame) -> DataFrame:
+    """(document_id, json): a document's record with its fields. scored: ``trust.fuse_readings``; status: ``trust.escalate``, or what later rules made of it."""
+    return _as_json(status.join(scored.groupBy("document_id").agg(_field_cells()), "document_id"))
+
+
+def scored_json(scored: DataFrame) -> DataFrame:
+    """The same with the status that the fields give: they are scored and grouped once."""
+    return _as_json(trust.escalate(scored, more=(_field_cells(),)).where("document_id IS NOT NULL"))
+
+
 def evaluation_json(outcomes: DataFrame) -> DataFrame:
     """One row, one JSON: overall figures, figures a field, calibration."""
     pack = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))  # noqa: E731  a row a field or bucket

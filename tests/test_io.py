@@ -10,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from docsieve import plugins
+from docsieve.operators import trust
+from docsieve.plans import workload as W
 from docsieve.plans.workload import draw_page
 from docsieve.queries import QUERIES
 from docsieve.security.crypto import decrypt
@@ -117,6 +119,14 @@ def test_crops_never_broadcast_pages(spark):
     assert all("Broadcast" not in p._jdf.queryExecution().executedPlan().toString() for p in plans)
 
 
+def test_records_score_documents_once(spark):
+    plan = QUERIES["result_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem") <= 1 and plan.count("l_orderkey") and plan.count("RepartitionByExpression") == 1
+    scored = trust.fuse_readings(W.readings(W.orders(spark, "/root/testdata/sf0.001")))
+    same = lambda df: {tuple(r) for r in df.collect()}
+    assert same(out.scored_json(scored)) == same(out.result_json(scored, trust.escalate(scored)))
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "gt.json").write_text(json.dumps({"document_type": "invoice", "description": "d", "fields": {"InvoiceId": "INV-1", "Subtotal": 900.0}}))
     labels = records.read_labels(spark, str(tmp_path / "gt.json"))
